@@ -7,7 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, fingerprint, langid, packing, runtime
+from . import bpe_count, chat, fingerprint, langid, packing, runtime, toxicity
+
+
+def op1_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text, by a network fitted on labelled rows that are not held out."""
+    docs = runtime.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, runtime.table(spark, sf_dir, "labels")))
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +63,7 @@ def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_gated_recurrent_toxicity": op1_gated_recurrent_toxicity,
     "op3_order_minhash": op3_order_minhash,
     "op5_rank_order_langid": op5_rank_order_langid,
     "op7_schema_chat": op7_schema_chat,
