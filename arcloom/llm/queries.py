@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, fingerprint, langid, packing, runtime, toxicity
+from . import bpe_count, chat, decontaminate, fingerprint, html, jaccard_join, langid, packing, resampling, runtime, toxicity
 
 
 def op1_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, runtime.table(spark, sf_dir, "labels")))
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of every whole text, and whether the Gumbel draw selects it."""
+    docs = runtime.table(spark, sf_dir, "documents")
+    return resampling.resample(docs, resampling.fit(docs, runtime.table(spark, sf_dir, "labels")))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness."""
     rows = fingerprint.with_next(runtime.table(spark, sf_dir, "documents"))
@@ -37,12 +43,22 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item found in every whole text, within the error budget."""
+    return decontaminate.matches(runtime.table(spark, sf_dir, "documents"), runtime.table(spark, sf_dir, "benchmark"))
+
+
 def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, by profiles learned on rows that are not held out."""
     docs = runtime.table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every whole text under five-word-shingle Jaccard of 0.75 or more."""
+    return jaccard_join.join(runtime.table(spark, sf_dir, "documents"))
+
+
 def op7_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7 formatted, and what is read back from the output."""
     control = r"\### Assistant: </turn> ok"
@@ -62,12 +78,24 @@ def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(runtime.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op10_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(runtime.table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
-    "op1_gated_recurrent_toxicity": op1_gated_recurrent_toxicity,
-    "op3_order_minhash": op3_order_minhash,
-    "op5_rank_order_langid": op5_rank_order_langid,
-    "op7_schema_chat": op7_schema_chat,
-    "op8_heap_bpe_count": op8_heap_bpe_count,
-    "op9_min_bin_slack": op9_min_bin_slack,
+    f.__name__: f
+    for f in (
+        op1_gated_recurrent_toxicity,
+        op2_importance_resampling,
+        op3_order_minhash,
+        op4_pigeonhole_decontamination,
+        op5_rank_order_langid,
+        op6_ngram_jaccard_join,
+        op7_schema_chat,
+        op8_heap_bpe_count,
+        op9_min_bin_slack,
+        op10_wrapper_extraction,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,25 +23,39 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{have.index(n)}").alias(n) for n in names])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that every executor can read.
-
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in local tests, is a
-    temporary folder of this machine taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`. Only where that is unset, as in local tests, is a temporary folder of this
+    machine taken."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="arcloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files that every executor can read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+_held: dict[str, object] = {}
 
 
-def spread(df: DataFrame, rows_per_part: int | None = None) -> DataFrame:
-    """Nothing is moved: the scan's own splits are the tasks."""
-    return df
+class Shared:
+    """A value that each Python worker gets once, and what the worker makes of it, which it keeps while tasks use it."""
+
+    def __init__(self, spark: SparkSession, value, make=None):
+        self.key, self.value, self.make = uuid.uuid4().hex, spark.sparkContext.broadcast(value), make
+
+    def get(self):
+        if self.key not in _held:
+            _held.clear()
+            _held[self.key] = self.make(*self.value.value) if self.make else self.value.value
+        return _held[self.key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

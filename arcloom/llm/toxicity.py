@@ -29,6 +29,8 @@ LEARN = {1: 1500, 0: 3000}
 WINDOW, STRIDE, HIDDEN, EMBED, ATTEND = 64, 48, 8, 4, 8
 BUCKETS = 1 << 18
 ROUNDS, BATCH, RATE, SEED = 5, 256, 0.01, 7
+#: Steps of training at least.
+UPDATES = 100
 #: Words that one Python worker remembers; characters of a word after which it is cut into overlapping parts.
 REMEMBER, LONGEST = 200_000, 32
 LEANS = 5
@@ -228,6 +230,9 @@ def train(texts: list[str | None], toxic: np.ndarray, rounds: int = ROUNDS) -> N
     count = np.bincount(of, minlength=len(words))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     share, step = toxic.mean(), 0
+    # few texts make few steps: smaller batches and more rounds then
+    batch = int(np.clip(len(words) // 16, 16, BATCH))
+    rounds = max(rounds, min(25, -(-UPDATES * batch // len(words))))
     for turn in range(rounds):
         if turn:
             logit, _, _ = net.score(words)
@@ -241,8 +246,8 @@ def train(texts: list[str | None], toxic: np.ndarray, rounds: int = ROUNDS) -> N
         chosen = np.concatenate([top, other[(toxic == 0) & (count > 1)]])
         r.shuffle(chosen)
         net.index, net.gates = {}, None
-        for at in range(0, len(chosen), BATCH):
-            w = chosen[at : at + BATCH]
+        for at in range(0, len(chosen), batch):
+            w = chosen[at : at + batch]
             used, local = np.unique(ids[place[w]], return_inverse=True)
             local = local.reshape(len(w), WINDOW)
             x, (e, c, n) = net.inputs([names[i] for i in used])
@@ -284,7 +289,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
 
-_here: dict[int, Network] = {}
+def _scores(own: Network, column: pa.Array) -> np.ndarray:
+    _, off = runtime.utf8(column)
+    s = np.zeros(len(column))
+    for lo, hi in runtime.steps(off):
+        _, _, best = own.score([tokens(t) for t in column.slice(lo, hi - lo).to_pylist()])
+        s[lo:hi] = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -50, 50))), 0)
+    return s
+
+
+def clean(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    shared = runtime.Shared(docs.sparkSession, (net.lean_word, net.lean_gram, net.p), Network)
+    text = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(shared.get(), b.column(text)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
@@ -293,19 +316,11 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     A text that is null, empty or without a word scores 0. Null ids and repeated rows pass through, a row each; columns
     other than doc_id and text are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((net.lean_word, net.lean_gram, net.p))
+    shared = runtime.Shared(docs.sparkSession, (net.lean_word, net.lean_gram, net.p), Network)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _here.get(shared.id)
-        if own is None:
-            _here.clear()
-            own = _here[shared.id] = Network(*shared.value)
         for b in batches:
-            _, off = runtime.utf8(b.column(1))
-            s = np.zeros(b.num_rows)
-            for lo, hi in runtime.steps(off):
-                _, _, best = own.score([tokens(t) for t in b.column(1).slice(lo, hi - lo).to_pylist()])
-                s[lo:hi] = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -50, 50))), 0)
+            s = _scores(shared.get(), b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = runtime.pick(docs, "doc_id", "text").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
