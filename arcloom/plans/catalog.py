@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from arcloom.plans import edge_plans, propagate_plans  # noqa: F401
+from arcloom.plans.registry import ORACLES, QUERIES  # noqa: F401
