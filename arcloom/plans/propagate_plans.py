@@ -223,10 +223,10 @@ def _(spark, sf):
     return out
 
 
-@query("sage_conv", f"{BASE}, m AS (SELECT n.id, p.pos, coalesce(avg(x.v), 0) AS v FROM n CROSS JOIN {T.PLACES} LEFT JOIN e ON e.dst = n.id LEFT JOIN f x ON x.id = e.src AND x.pos = p.pos GROUP BY n.id, p.pos), {T.linear('a1', 'm', W1, [0.1003, -0.2007])}, {T.linear('a2', 'f', W2)}, {mix('o', [(1.0, 'a1'), (1.0, 'a2')])} {final('o')}")
+@query("sage_conv", f"{BASE}, m AS (SELECT n.id, p.pos, coalesce(avg(x.v), 0) AS v FROM n CROSS JOIN {T.PLACES} LEFT JOIN e ON e.dst = n.id LEFT JOIN f x ON x.id = e.src AND x.pos = p.pos GROUP BY n.id, p.pos), {T.linear('a1', 'm', W1, [0.1003, -0.2007])}, {T.linear('a2', 'f', W2)}, {mix('o', [(1.0, 'a1'), (1.0, 'a2')])} SELECT id, CAST(pos AS INTEGER) AS pos, round(v, 3) + 0.0 AS v FROM o")
 def _(spark, sf):
     n, e = _g(spark, sf)
-    return _out(P.sage_conv(n, e, W1, W2, [0.1003, -0.2007]))
+    return long_form(P.sage_conv(n, e, W1, W2, [0.1003, -0.2007])).select("id", "pos", (F.round("v", 3) + 0.0).alias("v"))
 
 
 @query("clustergcn_conv", f"{BASE}, {_CLUSTER}, {step('h', 'cl', 'f')}, {T.linear('a1', 'h', W1)}, {T.linear('a2', 'f', W2)}, {mix('o', [(1.0, 'a1'), (1.0, 'a2')])} {final('o')}")
