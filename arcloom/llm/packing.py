@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import runtime
 
 #: Words remembered by one Python worker before it starts anew, and the longest that is remembered.
-REMEMBER, REMEMBER_CHARS = 600_000, 48
+REMEMBER, REMEMBER_CHARS = 1_400_000, 48
 
 
 class Encoder(dict):
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             _, off = runtime.utf8(b.column(1))
             rows: list[tuple] = []
             ids = b.column(0).to_pylist()
-            for lo, hi in runtime.steps(off):
+            for lo, hi in runtime.steps(off, 4 * runtime.STEP_BYTES):
                 texts = [t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]
                 for doc, x in zip(ids[lo:hi], e.encode(texts), strict=True):
                     x += end
