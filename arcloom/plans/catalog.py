@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from arcloom.plans import edge_plans, propagate_plans, scatter_plans, temporal_plans  # noqa: F401
+from arcloom.plans import edge_plans, propagate_plans, ranking_plans, scatter_plans, structure_plans, temporal_plans  # noqa: F401
 from arcloom.plans.registry import ORACLES, QUERIES  # noqa: F401
