@@ -98,7 +98,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 200, inner: int = 128) -> DataFrame:
-    """Each document with the text of the next one by descending doc_id; after the last comes the first.
+    """Each document with its sketch, and the text and the sketch of the next one by descending doc_id; after the last
+    comes the first.
 
     The ids are cut into ranges at quantiles, so that a window over one range sees that range alone; the document
     that a range's last needs is the first of the range below, of which there is one a range. Documents of one id
@@ -117,13 +118,15 @@ def with_next(docs: DataFrame, rows_per_range: int = 200, inner: int = 128) -> D
         number = F.when(block == 0, 0).otherwise((block - 1) * inner + F.size(F.filter(F.get(within, block - 1), lambda b: b <= F.col("doc_id"))))
     dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(number))
     w = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    rows = dealt.select("doc_id", "text", "range", F.lead("text").over(w).alias("next"))
+    own = dealt.select("doc_id", "text", "range", sketches(F.col("text")).alias("sketch"))
+    rows = own.select("*", F.lead(F.struct("text", "sketch")).over(w).alias("next"))
     # a row for each of the ranges, whose number is bounded; in descending order, each with the one below
     ids = dealt.groupBy("range").agg(F.max("doc_id").alias("head"))
     below = ids.select(F.coalesce(F.lead("range").over(Window.orderBy(F.desc("range"))), F.max("range").over(Window.orderBy(F.asc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"), "range")
     heads = dealt.join(F.broadcast(ids.select(F.col("range").alias("r"), "head")), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy(F.col("range").alias("below")).agg(F.max("text").alias("after"))
     after = below.join(heads, "below").select("range", "after")
-    return rows.join(after, "range", "left").select("doc_id", "text", F.coalesce("next", "after", F.lit("")).alias("next_text"))
+    rows = rows.join(after, "range", "left")
+    return rows.select("doc_id", "text", "sketch", F.coalesce(F.col("next")["text"], "after", F.lit("")).alias("next_text"), F.coalesce(F.col("next")["sketch"], sketches(F.col("after"))).alias("next_sketch"))
 
 
 def half_replaced(text: Column, next_text: Column) -> Column:

@@ -30,7 +30,9 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        *[fingerprint.sketches(F.col(c)).alias(f"s_{c}") for c in ("text", "edited", "next_text")],
+        F.col("sketch").alias("s_text"),
+        fingerprint.sketches(F.col("edited")).alias("s_edited"),
+        F.col("next_sketch").alias("s_next_text"),
     )
     return rows.select(
         "doc_id",
