@@ -81,7 +81,7 @@ class Encoder(dict):
         if len(self) + len(fresh) > REMEMBER:
             self.clear()
             fresh = seen
-        marked = [w for w in fresh if w[-1:] in self.marks and w[:-1].isalpha()]
+        marked = [w for w in fresh if w[-1:] in self.marks and w[:-1].isalpha() and "\u0130" not in w]
         self.learn(fresh.difference(marked).union(w[:-1] for w in marked).difference(self))
         for w in marked:
             self[w] = self[w[:-1]] + self.marks[w[-1]]
