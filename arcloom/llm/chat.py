@@ -89,6 +89,12 @@ def _mapped(layout: Layout, record: Column) -> Column:
     return F.array(*turns)
 
 
+def _inside(path: str) -> Column:
+    """The paths of the first element of a list in a JSON record."""
+    keys = F.json_object_keys(F.get_json_object("record", f"$.{path}[0]"))
+    return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{path}[]."), k))
+
+
 def canonical_turns(df: DataFrame, id_col: str = "id", record: str = "record") -> DataFrame:
     """id, layout and turns array<struct<role, text>> of each record, in a struct column or a column of JSON strings.
 
@@ -106,7 +112,7 @@ def canonical_turns(df: DataFrame, id_col: str = "id", record: str = "record") -
     lists = sorted({x.turns[0] for x in LAYOUTS if x.turns})
     paths = F.concat(
         F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>")),
-        *[F.transform(F.coalesce(F.json_object_keys(F.get_json_object("record", f"$.{x}[0]")), F.array().cast("array<string>")), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k)) for x in lists],
+        *[_inside(x) for x in lists],
     )
     known = F.array_sort(F.array_distinct(F.array_intersect(paths, F.array(*[F.lit(p) for p in KNOWN]))))
     rows = df.select("id", "record", F.substring(F.sha2(F.array_join(known, "\n"), 256), 1, 16).alias("print"))

@@ -242,7 +242,7 @@ def article_path(wrapper: list) -> tuple[str, ...] | None:
     whole = max(a for _, a, _ in plain)
     tags = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote"}
     held = [x for x in plain if x[1] >= 0.8 * whole and x[2][-1].partition(".")[0] in tags]
-    return max(held or plain)[2]
+    return max(held)[2] if held else None
 
 
 def places(root: Node, path: tuple[str, ...]) -> list[Node]:
