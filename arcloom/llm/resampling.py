@@ -4,8 +4,8 @@ A text is a bag of hashed n-grams: its words, its pairs of words, and its pairs
 length, whether the word repeats the one before). The raw model counts them over all texts, the target model over
 texts labelled good. A text's log weight is the sum over its n-grams of log p_target - log p_raw. To each is added
 Gumbel noise drawn from a hash of the id, and the k largest are kept: a sample without replacement in which the odds of
-a text are its weight. k is the number of texts whose weight is at least `cut`, the weight that all but LOSS of the
-labelled good texts reach (0 at most).
+a text are its weight. k is the number of texts whose weight is at least `cut`: the weight that all but LOSS of the
+labelled good texts reach (0 at most), or, where the labelled poor texts lie below that, the middle between the two.
 
 The target model and the cut come from a bounded sample, SAMPLE labelled rows; the raw model covers every text.
 """
@@ -23,7 +23,7 @@ from . import runtime, textvec
 from .langid import held_out
 
 #: Buckets of each kind of n-gram; labelled good texts that the target model and the cut are made from, at most.
-BUCKETS, SAMPLE, LOSS, SEED = 1 << 14, 20_000, 0.001, 17
+BUCKETS, SAMPLE, LOSS, SEED, PRIOR = 1 << 14, 20_000, 0.001, 17, 10.0
 KINDS = 3
 _CLASS = np.zeros((3, 256), np.int32)
 _CLASS[0, 65:91] = 1  # capitals
@@ -51,10 +51,13 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of each bucket. The target model is drawn towards the raw one by PRIOR counts, so that
+    n-grams of which a sample cannot tell weigh nothing."""
     out = np.zeros(KINDS * BUCKETS)
     for k in range(KINDS):
         own = slice(k * BUCKETS, (k + 1) * BUCKETS)
-        out[own] = np.log((target[own] + 0.5) / (target[own].sum() + 0.5 * BUCKETS)) - np.log((raw[own] + 0.5) / (raw[own].sum() + 0.5 * BUCKETS))
+        expected = raw[own] * (target[own].sum() / max(1.0, raw[own].sum()))
+        out[own] = np.log((target[own] + PRIOR) / (expected + PRIOR))
     return out
 
 
@@ -63,14 +66,12 @@ class Model:
         self.ratio, self.cut = ratio, cut
 
 
-def _marked(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    rows = runtime.pick(docs, "doc_id", "text")
-    if labels is None:
-        return rows
-    good = runtime.pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    chosen = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    chosen = docs.sparkSession.createDataFrame(chosen.collect() or [], "doc_id long").withColumn("target", F.lit(True))  # SAMPLE ids at most
-    return rows.join(F.broadcast(chosen), "doc_id", "left")
+def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, q: the label where the row is in the sample."""
+    known = runtime.pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("q"))
+    ids = [r for q in (0, 1) for r in known.where(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, q int")  # SAMPLE of each label at most
+    return runtime.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -81,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
         for b in batches:
             data, off = runtime.utf8(b.column(0))
-            on = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            on = b.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 1
             for lo, hi in runtime.steps(off):
                 g, of = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 raw += np.bincount(g, minlength=KINDS * BUCKETS)
@@ -90,13 +91,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
 
     raw, target = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
-    for r in marked.select("text", "target").mapInArrow(tally, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
+    for r in marked.select("text", "q").mapInArrow(tally, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[r[0]], target[r[0]] = r[1], r[2]
     if not target.sum():
         return Model(np.zeros(KINDS * BUCKETS), 0.0)
     ratio = _ratio(target, raw)
-    known = weights(marked.where("target").select("doc_id", "text"), ratio).agg(F.percentile_approx("log_weight", LOSS, 100_000)).first()[0]
-    return Model(ratio, min(0.0, known if known is not None else 0.0))
+    seen = weights(marked.where("q is not null").select(F.col("q").cast("long").alias("doc_id"), "text"), ratio).groupBy("doc_id")
+    seen = {r[0]: r[1:] for r in seen.agg(F.percentile_approx("log_weight", LOSS, 100_000), F.percentile_approx("log_weight", 0.99, 100_000)).collect()}
+    cut = min(0.0, seen[1][0])
+    if 0 in seen and seen[0][1] < cut:
+        cut = (cut + seen[0][1]) / 2
+    return Model(ratio, cut)
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
