@@ -25,7 +25,7 @@ from . import runtime
 from .langid import held_out
 
 #: Labelled texts of each class that the network is fitted on, at most.
-LEARN = {1: 1500, 0: 3000}
+LEARN = {1: 1000, 0: 2000}
 WINDOW, STRIDE, HIDDEN, EMBED, ATTEND = 64, 48, 8, 4, 8
 BUCKETS = 1 << 18
 ROUNDS, BATCH, RATE, SEED = 5, 256, 0.01, 7
@@ -106,11 +106,16 @@ class Network:
             self.gates = np.empty((2, max(REMEMBER, len(fresh)), 3 * HIDDEN), np.float32)
         if fresh:
             new, at = list(fresh), len(self.index)
-            x, _ = self.inputs(new)
-            self.gates[:, at : at + len(new)] = x @ self.p["W"] + self.p["b"]
+            self.fill(new, self.gates[:, at : at + len(new)])
             self.index.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
+    def fill(self, words: list[str], out: np.ndarray) -> None:
+        """The gate inputs of words, some thousands at a time, as their n-grams are many."""
+        for i in range(0, len(words), 8192):
+            x, _ = self.inputs(words[i : i + 8192])
+            out[:, i : i + 8192] = x @ self.p["W"] + self.p["b"]
+
     def run(self, gates: np.ndarray, on: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logits of windows. gates: direction, window, step, 3 * HIDDEN; on: window, step."""
         p, h = self.p, HIDDEN
@@ -214,6 +219,7 @@ def leaning(texts: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, np.n
 
 def train(texts: list[str | None], toxic: np.ndarray, rounds: int = ROUNDS) -> Network:
     words = [tokens(t) for t in texts]
+    texts.clear()
     own = [i for i, w in enumerate(words) if w]
     words, toxic = [words[i] for i in own], np.asarray(toxic)[own].astype(np.float32)
     net = Network.fresh(*leaning(words, toxic))
@@ -226,20 +232,25 @@ def train(texts: list[str | None], toxic: np.ndarray, rounds: int = ROUNDS) -> N
     number = {w: i for i, w in enumerate(names)}
     ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     r = np.random.default_rng(SEED)
-    first = np.searchsorted(of, np.arange(len(words)))
-    count = np.bincount(of, minlength=len(words))
+    first, count = np.searchsorted(of, np.arange(len(words))), np.bincount(of, minlength=len(words))
+    size = len(words)
+    ids, place = ids.astype(np.int32), place.astype(np.int32)
+    del words, flat, number  # the driver keeps numbers alone
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     share, step = toxic.mean(), 0
     # few texts make few steps: smaller batches and more rounds then
-    batch = int(np.clip(len(words) // 16, 16, BATCH))
-    rounds = max(rounds, min(25, -(-UPDATES * batch // len(words))))
+    batch = int(np.clip(size // 16, 16, BATCH))
+    rounds = max(rounds, min(25, -(-UPDATES * batch // size)))
     for turn in range(rounds):
         if turn:
-            logit, _, _ = net.score(words)
+            gates, logit = np.empty((2, len(names), 3 * HIDDEN), np.float32), np.empty(len(of))
+            net.fill(names, gates)
+            for at in range(0, len(of), 512):
+                logit[at : at + 512], _ = net.run(gates[:, ids[place[at : at + 512]]], on[at : at + 512])
+            del gates
         else:  # before anything is learned, the windows whose words lean most
-            lean, _ = net.inputs(names)
-            logit = (np.maximum(lean[:, 0], 0) + np.maximum(lean[:, 2], 0))[ids[place]] * on
-            logit = logit.sum(1)
+            lean = np.concatenate([np.maximum(x[:, 0], 0) + np.maximum(x[:, 2], 0) for i in range(0, len(names), 8192) for x in [net.inputs(names[i : i + 8192])[0]]])
+            logit = np.concatenate([(lean[ids[place[at : at + 4096]]] * on[at : at + 4096]).sum(1) for at in range(0, len(of), 4096)])
         order = np.lexsort((-logit, of))
         top = order[first]
         other = first + r.integers(0, count)
@@ -286,7 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # bounded by `most`
     rows = runtime.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    texts, toxic = [r["text"] for r in rows], np.array([r["toxic"] for r in rows])
+    del rows
+    return train(texts, toxic)
 
 
 def _scores(own: Network, column: pa.Array) -> np.ndarray:
