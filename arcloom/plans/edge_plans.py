@@ -80,11 +80,12 @@ def _(spark, sf):
     return E.add_remaining_self_loops(V.session_edges(spark, sf), V.nodes(spark, sf), 2.0)
 
 
-_SPARSE = f"{EDGES}, s AS (SELECT * FROM e WHERE (src + dst) % 97 = 0), ends AS (SELECT src AS id FROM s WHERE src <> dst UNION SELECT dst FROM s WHERE src <> dst)"
+_SPARSE = f"{EDGES}, s AS (SELECT * FROM e WHERE w >= 2), ends AS (SELECT src AS id FROM s WHERE src <> dst UNION SELECT dst FROM s WHERE src <> dst)"
 
 
 def _sparse(spark, sf):
-    return V.session_edges(spark, sf).where((F.col("src") + F.col("dst")) % 97 == 0)
+    """Pairs that were bought together more than once: few, so that many parts are isolated."""
+    return V.session_edges(spark, sf).where("w >= 2")
 
 
 @query("contains_isolated_nodes", f"{_SPARSE} SELECT count(*) > 0 AS found, count(*) AS n FROM n WHERE id NOT IN (SELECT id FROM ends)")
@@ -120,9 +121,9 @@ def _(spark, sf):
     return _w(E.laplacian(V.session_edges(spark, sf), V.nodes(spark, sf), "rw"))
 
 
-@query("induced_subgraph", f"{EDGES}, m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM n WHERE id % 3 = 1) SELECT a.k AS src, b.k AS dst, e.w FROM e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst")
+@query("induced_subgraph", f"{EDGES}, m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM n WHERE x0 <= 20) SELECT a.k AS src, b.k AS dst, e.w FROM e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst")
 def _(spark, sf):
-    return E.induced(V.session_edges(spark, sf), V.nodes(spark, sf).where("id % 3 = 1"))[0]
+    return E.induced(V.session_edges(spark, sf), V.nodes(spark, sf).where("x[0] <= 20"))[0]
 
 
 @query("one_hot", "SELECT p_partkey AS id, c.pos, CAST(p_partkey % 5 = c.pos AS INTEGER) AS v FROM part, (SELECT CAST(unnest(range(5)) AS INTEGER) AS pos) c")
@@ -145,10 +146,10 @@ def _(spark, sf):
     return E.one_way(V.session_edges(spark, sf), upper=False)
 
 
-@query("index_to_mask", "SELECT p_partkey AS id, p_partkey % 4 = 2 AS mask FROM part")
+@query("index_to_mask", "SELECT p_partkey AS id, p_size > 25 AS mask FROM part")
 def _(spark, sf):
     n = V.nodes(spark, sf)
-    return E.index_to_mask(n, n.where("id % 4 = 2"))
+    return E.index_to_mask(n, n.where("x[0] > 25"))
 
 
 @query("random_splits", f"""WITH a AS (SELECT p_partkey AS id, p_partkey % 5 AS y, {draw_sql('p_partkey', '0', 42)} AS h FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, id) AS k FROM a), v AS (SELECT id, row_number() OVER (ORDER BY h, id) AS q FROM r WHERE k > 20) SELECT r.id, CASE WHEN r.k <= 20 THEN 'train' WHEN v.q <= 50 THEN 'val' ELSE 'test' END AS role FROM r LEFT JOIN v ON v.id = r.id""")

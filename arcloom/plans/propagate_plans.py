@@ -33,10 +33,10 @@ for _name, _key, _other in (("coo_to_csc", "dst", "src"), ("coo_to_csr", "src",
         return S.compressed(e, n, key, other)
 
 
-@query("csc_to_csr_layer", f"{EDGES} SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place FROM e WHERE dst % 10 = 0 AND src % 3 = 0")
+@query("csc_to_csr_layer", f"{EDGES} SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place FROM e JOIN n a ON a.id = e.dst AND a.x0 <= 5 JOIN n b ON b.id = e.src AND b.x0 > 15")
 def _(spark, sf):
     n, e = _g(spark, sf)
-    return S.layer_csr(e, n.where("id % 10 = 0"), n.where("id % 3 = 0"))
+    return S.layer_csr(e, n.where("x[0] <= 5"), n.where("x[0] > 15"))
 
 
 _SPMM = f"{BASE}, {step('h', 'e', 'f')} {final('h')}"
@@ -98,15 +98,15 @@ for _name, _end in (("scatter_to_vertex_dst", "dst"), ("scatter_to_vertex_src",
 
 
 for _name, _a, _b in (("in_neighbours", "dst", "src"), ("out_neighbours", "src", "dst")):
-    @query(_name, f"{EDGES} SELECT e.{_a} AS id, e.{_b} AS neighbour FROM e JOIN n ON n.id = e.{_a} WHERE n.id % 50 = 1")
+    @query(_name, f"{EDGES} SELECT e.{_a} AS id, e.{_b} AS neighbour FROM e JOIN n ON n.id = e.{_a} WHERE n.x0 = 1")
     def _(spark, sf, a=_a, b=_b):
         n, e = _g(spark, sf)
-        return S.neighbours(e, n.where("id % 50 = 1"), a, b)
+        return S.neighbours(e, n.where("x[0] = 1"), a, b)
 
 
-@query("layer_weights", f"{EDGES} SELECT src, dst, round(1 / (sqrt(count(*) OVER (PARTITION BY src)) * sqrt(count(*) OVER (PARTITION BY dst))), 6) AS weight FROM e WHERE dst % 10 = 0")
+@query("layer_weights", f"{EDGES} SELECT src, dst, round(1 / (sqrt(count(*) OVER (PARTITION BY src)) * sqrt(count(*) OVER (PARTITION BY dst))), 6) AS weight FROM e")
 def _(spark, sf):
-    return S.layer_weights(V.session_edges(spark, sf).where("dst % 10 = 0")).select("src", "dst", r6("weight").alias("weight"))
+    return S.layer_weights(V.session_edges(spark, sf)).select("src", "dst", r6("weight").alias("weight"))
 
 
 @query("sample_sizes", f"{EDGES} SELECT n.id, least(count(e.src), 15) AS size FROM n LEFT JOIN e ON e.dst = n.id GROUP BY n.id")
@@ -307,10 +307,10 @@ def _(spark, sf):
     return _out(P.mapped(V.nodes(spark, sf), lambda x: linear(relu(linear(x, W1, [0.1, -0.2])), W2)))
 
 
-@query("merge_predictor", f"{BASE}, j AS (SELECT e.src, e.dst, a.x0, a.x1, b.x0 AS y0, b.x1 AS y1 FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE e.src % 10 = 0) SELECT src, dst, round(greatest(0.5 * x0 + 0.25 * y0, 0) - greatest(0.125 * x1 - y1, 0), 6) AS score FROM j")
+@query("merge_predictor", f"{BASE}, j AS (SELECT e.src, e.dst, a.x0, a.x1, b.x0 AS y0, b.x1 AS y1 FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst) SELECT src, dst, round(greatest(0.5 * x0 + 0.25 * y0, 0) - greatest(0.125 * x1 - y1, 0), 6) AS score FROM j")
 def _(spark, sf):
     n, e = _g(spark, sf)
-    j = e.where("src % 10 = 0").join(n.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
+    j = e.join(n.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
     h = relu(linear(F.concat("a", "b"), [[0.5, 0.0], [0.0, 0.125], [0.25, 0.0], [0.0, -1.0]]))
     return j.select("src", "dst", r6(F.get(h, 0) - F.get(h, 1)).alias("score"))
 

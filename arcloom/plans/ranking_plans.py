@@ -16,7 +16,7 @@ from arcloom.sources import views as V
 USERS = 200_000
 _P = f"WITH {V.SQL_PAIRS}"
 _SPLIT = _P + f""", r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {draw_sql('user_id', 'item_id', 42)}, item_id) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM p), sp AS (SELECT user_id, item_id, CAST(CASE WHEN k <= floor(c * 0.8) THEN 0 WHEN k <= floor(c * 0.8) + floor(c * 0.1) THEN 1 ELSE 2 END AS INTEGER) AS part FROM r)"""
-_SCORES = _SPLIT + f""", u AS (SELECT DISTINCT user_id FROM p WHERE user_id % 10 = 0), it AS (SELECT DISTINCT item_id FROM p), sc AS (SELECT u.user_id, it.item_id, CAST({draw_sql('u.user_id', 'it.item_id', 9)} AS DOUBLE) AS score FROM u, it), fr AS (SELECT sc.* FROM sc LEFT JOIN sp ON sp.user_id = sc.user_id AND sp.item_id = sc.item_id AND sp.part = 0 WHERE sp.user_id IS NULL), tk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM fr), rl AS (SELECT tk.user_id, tk.item_id, tk.rank, t.user_id IS NOT NULL AS rel, c.n_pos FROM tk LEFT JOIN (SELECT user_id, item_id FROM sp WHERE part = 2) t ON t.user_id = tk.user_id AND t.item_id = tk.item_id JOIN (SELECT user_id, count(*) AS n_pos FROM sp WHERE part = 2 GROUP BY user_id) c ON c.user_id = tk.user_id WHERE rank <= 200)"""
+_SCORES = _SPLIT + f""", u AS (SELECT DISTINCT user_id FROM p), it AS (SELECT DISTINCT item_id FROM p), sc AS (SELECT u.user_id, it.item_id, CAST({draw_sql('u.user_id', 'it.item_id', 9)} AS DOUBLE) AS score FROM u, it), fr AS (SELECT sc.* FROM sc LEFT JOIN sp ON sp.user_id = sc.user_id AND sp.item_id = sc.item_id AND sp.part = 0 WHERE sp.user_id IS NULL), tk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM fr), rl AS (SELECT tk.user_id, tk.item_id, tk.rank, t.user_id IS NOT NULL AS rel, c.n_pos FROM tk LEFT JOIN (SELECT user_id, item_id FROM sp WHERE part = 2) t ON t.user_id = tk.user_id AND t.item_id = tk.item_id JOIN (SELECT user_id, count(*) AS n_pos FROM sp WHERE part = 2 GROUP BY user_id) c ON c.user_id = tk.user_id WHERE rank <= 200)"""
 
 
 def _split(spark, sf):
@@ -24,7 +24,7 @@ def _split(spark, sf):
 
 
 def _scores(p):
-    u, i = p.where("user_id % 10 = 0").select("user_id").distinct(), p.select("item_id").distinct()
+    u, i = p.select("user_id").distinct(), p.select("item_id").distinct()
     return u.crossJoin(F.broadcast(i)).withColumn("score", draw(F.col("user_id"), F.col("item_id"), 9).cast("double"))
 
 
@@ -61,11 +61,11 @@ def _(spark, sf):
     return long_form(out).select("id", "pos", r6("v").alias("v"))
 
 
-_EMB = "WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, label FROM embeddings WHERE vec_id < 200)"
+_EMB = "WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, label FROM embeddings)"
 
 
 def _emb(spark, sf):
-    e = V.table(spark, sf, "embeddings").where("vec_id < 200")
+    e = V.table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("id"), *[F.get("embedding", k).cast("double").alias(c) for k, c in enumerate("abc")], "label")
 
 

@@ -32,16 +32,16 @@ def _(spark, sf):
     return long_form(S.random_walks(V.session_edges(spark, sf), V.nodes(spark, sf).select("id"), 3, 8), "walk", ("start",))
 
 
-for _name, _seeds in (("sample_fanout", 1), ("minibatch_fanout_layer", 10)):
-    @query(_name, f"{EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {draw_sql('src', 'dst', 7)}, src) AS k FROM e WHERE dst % {_seeds} = 0) SELECT src, dst FROM r WHERE k <= 5")
+for _name, _seeds in (("sample_fanout", 1000), ("minibatch_fanout_layer", 5)):
+    @query(_name, f"{EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {draw_sql('src', 'dst', 7)}, src) AS k FROM e JOIN n ON n.id = e.dst AND n.x0 <= {_seeds}) SELECT src, dst FROM r WHERE k <= 5")
     def _(spark, sf, seeds=_seeds):
-        return S.fan_out(V.session_edges(spark, sf), V.nodes(spark, sf).where(F.col("id") % seeds == 0), 5, 7)
+        return S.fan_out(V.session_edges(spark, sf), V.nodes(spark, sf).where(F.get("x", 0) <= seeds), 5, 7)
 
 
-@query("neighbor_loader_two_layers", f"{_RANK}, l1 AS (SELECT n.id, CAST(k AS INTEGER) AS pick FROM n, unnest(range(2)) t(k) WHERE n.id % 20 = 0), s1 AS (SELECT l1.id AS target, rk.dst AS source FROM l1 JOIN rk ON rk.src = l1.id AND rk.place = {draw_sql('l1.id', 'l1.pick', 3)} % rk.size), u AS (SELECT DISTINCT source AS id FROM s1), l2 AS (SELECT u.id, CAST(k AS INTEGER) AS pick FROM u, unnest(range(2)) t(k)), s2 AS (SELECT l2.id AS target, rk.dst AS source FROM l2 JOIN rk ON rk.src = l2.id AND rk.place = {draw_sql('l2.id', 'l2.pick', 4)} % rk.size) SELECT DISTINCT target, source FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2)")
+@query("neighbor_loader_two_layers", f"{_RANK}, l1 AS (SELECT n.id, CAST(k AS INTEGER) AS pick FROM n, unnest(range(2)) t(k)), s1 AS (SELECT l1.id AS target, rk.dst AS source FROM l1 JOIN rk ON rk.src = l1.id AND rk.place = {draw_sql('l1.id', 'l1.pick', 3)} % rk.size), u AS (SELECT DISTINCT source AS id FROM s1), l2 AS (SELECT u.id, CAST(k AS INTEGER) AS pick FROM u, unnest(range(2)) t(k)), s2 AS (SELECT l2.id AS target, rk.dst AS source FROM l2 JOIN rk ON rk.src = l2.id AND rk.place = {draw_sql('l2.id', 'l2.pick', 4)} % rk.size) SELECT DISTINCT target, source FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2)")
 def _(spark, sf):
     e = V.session_edges(spark, sf)
-    one = S.with_replacement(e, V.nodes(spark, sf).where("id % 20 = 0").select("id"), 2, 3)
+    one = S.with_replacement(e, V.nodes(spark, sf).select("id"), 2, 3)
     two = S.with_replacement(e, one.select(F.col("neighbour").alias("id")).distinct(), 2, 4)
     return one.unionByName(two).select(F.col("id").alias("target"), F.col("neighbour").alias("source")).distinct()
 
@@ -60,9 +60,9 @@ for _name in ("cluster_loader", "graphsaint_loader", "metis_like_partition"):
         return B.label_propagation_parts(e, n, 4, 2)
 
 
-@query("node2vec_transitions", f"{EDGES}, s AS (SELECT src, dst FROM e WHERE src % 5 = 0 AND dst % 5 = 0), t AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS next, CASE WHEN b.dst = a.src THEN 2.0 WHEN c.src IS NOT NULL THEN 1.0 ELSE 0.5 END AS w FROM s a JOIN s b ON b.src = a.dst LEFT JOIN s c ON c.src = a.src AND c.dst = b.dst) SELECT prev, cur, next, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob FROM t")
+@query("node2vec_transitions", f"{EDGES}, s AS (SELECT src, dst FROM e), t AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS next, CASE WHEN b.dst = a.src THEN 2.0 WHEN c.src IS NOT NULL THEN 1.0 ELSE 0.5 END AS w FROM s a JOIN s b ON b.src = a.dst LEFT JOIN s c ON c.src = a.src AND c.dst = b.dst) SELECT prev, cur, next, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob FROM t")
 def _(spark, sf):
-    e = V.session_edges(spark, sf).where("src % 5 = 0 AND dst % 5 = 0")
+    e = V.session_edges(spark, sf)
     return S.second_order_weights(e, 0.5, 2.0).select("prev", "cur", "next", r6("prob").alias("prob"))
 
 
@@ -178,12 +178,13 @@ def _(spark, sf):
 
 
 # ---- graph transformers ----------------------------------------------------------------------------------------------------
-_SMALL = "g AS (SELECT DISTINCT l_orderkey % 40 AS gid, l_partkey % 12 AS src, l_suppkey % 12 AS dst FROM lineitem WHERE l_orderkey < 400 AND l_partkey % 12 <> l_suppkey % 12)"
+_SMALL = "g AS (SELECT DISTINCT l_suppkey AS gid, l_partkey % 30 AS src, l_orderkey % 31 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_partkey % 30 <> l_orderkey % 31)"
 
 
 def _small(spark, sf):
-    r = V.table(spark, sf, "lineitem").where("l_orderkey < 400 AND l_partkey % 12 <> l_suppkey % 12")
-    return r.select((F.col("l_orderkey") % 40).alias("gid"), (F.col("l_partkey") % 12).alias("src"), (F.col("l_suppkey") % 12).alias("dst")).distinct()
+    """A graph for each supplier: an edge for each returned first line item."""
+    r = V.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1 AND l_partkey % 30 <> l_orderkey % 31")
+    return r.select(F.col("l_suppkey").alias("gid"), (F.col("l_partkey") % 30).alias("src"), (F.col("l_orderkey") % 31).alias("dst")).distinct()
 
 
 _PATHS = f"WITH RECURSIVE {_SMALL}, d0 AS (SELECT gid, src AS s FROM g UNION SELECT gid, dst FROM g), r AS (SELECT gid, s, s AS t, 0 AS dist FROM d0 UNION SELECT r.gid, r.s, g.dst, r.dist + 1 FROM r JOIN g ON g.gid = r.gid AND g.src = r.t WHERE r.dist < 4), sp AS (SELECT gid, s, t, CAST(min(dist) AS INTEGER) AS dist FROM r GROUP BY gid, s, t)"
@@ -335,9 +336,9 @@ def _(spark, sf):
     return _near(spark, sf).select("gid", "i", "j", F.round(F.sin(d), 5).alias("s1"), F.round(F.cos(d), 5).alias("c1"), F.round(F.sin(d / 2), 5).alias("s2"), F.round(F.cos(d / 2), 5).alias("c2"), F.round(d / (1 + F.exp(-d)), 5).alias("silu"))
 
 
-@query("conformer_pair_distance", f"WITH {_PTS} SELECT a.gid, a.id AS i, b.id AS j, round(sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2)), 5) AS dist, (a.id % 4) * 4 + b.id % 4 AS pair_type FROM pt a JOIN pt b ON b.gid = a.gid WHERE a.gid = 3")
+@query("conformer_pair_distance", f"WITH {_PTS} SELECT a.gid, a.id AS i, b.id AS j, round(sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2)), 5) AS dist, (a.id % 4) * 4 + b.id % 4 AS pair_type FROM pt a JOIN pt b ON b.gid = a.gid")
 def _(spark, sf):
-    p = _points(spark, sf).where("gid = 3")
+    p = _points(spark, sf)
     j = p.select("gid", F.col("id").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"]).join(p.withColumnRenamed("id", "j"), "gid")
     d = F.sqrt(sum(((F.col(f"{c}1") - F.col(c)) * (F.col(f"{c}1") - F.col(c)) for c in "xyz"), F.lit(0.0)))
     return j.select("gid", "i", "j", F.round(d, 5).alias("dist"), (F.col("i") % 4 * 4 + F.col("j") % 4).alias("pair_type"))

@@ -11,7 +11,7 @@ from arcloom.plans.registry import query
 from arcloom.sources import views as V
 
 #: An event for each (customer, part, day); its id packs them, so that it is total and portable.
-_SQL = """i AS (SELECT DISTINCT o_custkey AS src, l_partkey + 100000 AS dst, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), ev AS (SELECT src, dst, t, (t * 10000000 + src) * 1000000 + dst AS eid FROM i), adj AS (SELECT src AS node, dst AS other, t, eid FROM ev UNION ALL SELECT dst, src, t, eid FROM ev), q AS (SELECT src AS node, t, eid AS qid FROM ev WHERE (src * 31 + dst) % 10 = 0)"""
+_SQL = """i AS (SELECT DISTINCT o_custkey AS src, l_partkey + 100000 AS dst, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey), ev AS (SELECT src, dst, t, (t * 10000000 + src) * 1000000 + dst AS eid FROM i), adj AS (SELECT src AS node, dst AS other, t, eid FROM ev UNION ALL SELECT dst, src, t, eid FROM ev), q AS (SELECT src AS node, t, eid AS qid FROM ev)"""
 _REC = _SQL + """, rk AS (SELECT q.qid, a.other, a.t AS t_other, a.eid, row_number() OVER (PARTITION BY q.qid ORDER BY a.t DESC, a.eid DESC) AS rank, count(*) OVER (PARTITION BY q.qid) AS n FROM q JOIN adj a ON a.node = q.node AND a.t < q.t)"""
 
 
@@ -21,7 +21,7 @@ def _events(spark, sf):
 
 
 def _queries(e):
-    return e.where((F.col("src") * 31 + F.col("dst")) % 10 == 0).select(F.col("src").alias("node"), "t", F.col("eid").alias("qid"))
+    return e.select(F.col("src").alias("node"), "t", F.col("eid").alias("qid"))
 
 
 _PLACED = _SQL + ", pl AS (SELECT *, row_number() OVER (ORDER BY t, eid) - 1 AS place FROM ev)"
@@ -89,11 +89,11 @@ def _(spark, sf):
     return two.select(F.col("q1").alias("qid"), "rank1", F.col("rank").alias("rank2"), "other")
 
 
-@query("first_hop_history", f"WITH {_SQL} SELECT q.qid, a.other, a.t AS t_other, a.eid FROM q JOIN adj a ON a.node = q.node AND a.t < q.t WHERE q.node % 10 = 0")
+@query("first_hop_history", f"WITH {_SQL} SELECT q.qid, count(*) AS n, min(a.eid) AS first_eid, max(a.eid) AS last_eid, CAST(sum(a.other) AS BIGINT) AS others FROM q JOIN adj a ON a.node = q.node AND a.t < q.t GROUP BY q.qid")
 def _(spark, sf):
     e = _events(spark, sf)
-    q = _queries(e).where("node % 10 = 0")
-    return T.recent(q, T.both_ways(e), 1 << 30).select("qid", "other", "t_other", "eid")
+    full = T.recent(_queries(e), T.both_ways(e), 1 << 30)
+    return full.groupBy("qid").agg(F.count("*").alias("n"), F.min("eid").alias("first_eid"), F.max("eid").alias("last_eid"), F.sum("other").alias("others"))
 
 
 for _name in ("last_neighbour_state", "linked_list_last_neighbours"):
@@ -113,9 +113,9 @@ def _(spark, sf):
     return T.message_store(_events(spark, sf), F.floor(F.col("t") / 30))
 
 
-@query("identity_message", f"WITH {_SQL}, {V.SQL_NODES}, m AS (SELECT eid, 0 AS pos, CAST(src % 7 AS DOUBLE) AS v FROM ev UNION ALL SELECT eid, 1, CAST(dst % 7 AS DOUBLE) FROM ev UNION ALL SELECT eid, 2, round(cos(CAST(t % 100 AS DOUBLE)), 6) FROM ev) SELECT eid, pos, v FROM m WHERE eid % 10 = 0")
+@query("identity_message", f"WITH {_SQL}, {V.SQL_NODES}, m AS (SELECT eid, 0 AS pos, CAST(src % 7 AS DOUBLE) AS v FROM ev UNION ALL SELECT eid, 1, CAST(dst % 7 AS DOUBLE) FROM ev UNION ALL SELECT eid, 2, round(cos(CAST(t % 100 AS DOUBLE)), 6) FROM ev) SELECT eid, pos, v FROM m")
 def _(spark, sf):
-    e = _events(spark, sf).where("eid % 10 = 0")
+    e = _events(spark, sf)
     msg = F.concat(F.array((F.col("src") % 7).cast("double")), F.array((F.col("dst") % 7).cast("double")), F.array(F.round(F.cos((F.col("t") % 100).cast("double")), 6)))
     return long_form(e.select("eid", msg.alias("x")), key=("eid",))
 
@@ -138,11 +138,11 @@ def _(spark, sf):
     return g.crossJoin(F.broadcast(std)).select("eid", r6(F.col("gap") / F.col("s")).alias("delta"))
 
 
-@query("neighbour_cooccurrence", f"WITH {_REC}, own AS (SELECT qid, other, count(*) AS c FROM rk WHERE rank <= 10 GROUP BY qid, other), qd AS (SELECT dst AS node, t, eid AS qid FROM ev WHERE (src * 31 + dst) % 10 = 0), rd AS (SELECT qd.qid, a.other, row_number() OVER (PARTITION BY qd.qid ORDER BY a.t DESC, a.eid DESC) AS rank FROM qd JOIN adj a ON a.node = qd.node AND a.t < qd.t), oth AS (SELECT rd.qid, b.other, count(*) AS c FROM rd JOIN LATERAL (SELECT rd.other AS other) b ON true WHERE rank <= 10 GROUP BY rd.qid, b.other) SELECT own.qid, own.other AS n_id, own.c AS in_own, coalesce(oth.c, 0) AS in_other FROM own LEFT JOIN oth ON oth.qid = own.qid AND oth.other = own.other")
+@query("neighbour_cooccurrence", f"WITH {_REC}, own AS (SELECT qid, other, count(*) AS c FROM rk WHERE rank <= 10 GROUP BY qid, other), qd AS (SELECT dst AS node, t, eid AS qid FROM ev), rd AS (SELECT qd.qid, a.other, row_number() OVER (PARTITION BY qd.qid ORDER BY a.t DESC, a.eid DESC) AS rank FROM qd JOIN adj a ON a.node = qd.node AND a.t < qd.t), oth AS (SELECT rd.qid, b.other, count(*) AS c FROM rd JOIN LATERAL (SELECT rd.other AS other) b ON true WHERE rank <= 10 GROUP BY rd.qid, b.other) SELECT own.qid, own.other AS n_id, own.c AS in_own, coalesce(oth.c, 0) AS in_other FROM own LEFT JOIN oth ON oth.qid = own.qid AND oth.other = own.other")
 def _(spark, sf):
     e = _events(spark, sf)
     adj = T.both_ways(e)
-    other = e.where((F.col("src") * 31 + F.col("dst")) % 10 == 0).select(F.col("dst").alias("node"), "t", F.col("eid").alias("qid"))
+    other = e.select(F.col("dst").alias("node"), "t", F.col("eid").alias("qid"))
     return T.cooccurrence(T.recent(_queries(e), adj, 10), T.recent(other, adj, 10))
 
 
@@ -167,13 +167,14 @@ def _(spark, sf):
     return both.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-_EV = "ev AS (SELECT event_id, ts AS t, user_id AS src, 1000 + CAST(floor(value) AS BIGINT) % 40 AS dst FROM events WHERE event_id < 60)"
+#: Events are analysed in batches of 50; a node's id names its batch, so that batches do not meet.
+_EV = "ev AS (SELECT event_id, ts AS t, event_id // 50 * 1000000 + user_id AS src, event_id // 50 * 1000000 + 900000 + CAST(floor(value) AS BIGINT) % 40 AS dst FROM events)"
 _SUB = f"{_EV}, two AS (SELECT src, dst FROM ev UNION SELECT dst, src FROM ev), s0 AS (SELECT event_id, src AS node FROM ev UNION SELECT event_id, dst FROM ev), sub AS (SELECT event_id, node FROM s0 UNION SELECT s0.event_id, two.dst FROM s0 JOIN two ON two.src = s0.node)"
 
 
 def _typed(spark, sf):
-    e = V.table(spark, sf, "events").where("event_id < 60")
-    return e.select("event_id", F.col("ts").alias("t"), F.col("user_id").alias("src"), (1000 + F.floor("value") % 40).alias("dst"))
+    e, batch = V.table(spark, sf, "events"), F.floor(F.col("event_id") / 50) * 1_000_000
+    return e.select("event_id", F.col("ts").alias("t"), (batch + F.col("user_id")).alias("src"), (batch + 900_000 + F.floor("value") % 40).alias("dst"))
 
 
 def _subgraph(e):
