@@ -100,4 +100,18 @@ QUERIES = {
         op10_wrapper_extraction,
     )
 }
-ORACLES: dict[str, str] = {}
+#: The one operator whose result SQL can say.
+ORACLES: dict[str, str] = {
+    "op7_schema_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (
+  SELECT *, replace(replace(text, '\', '\\'), '<|', '\<|') AS e, replace(replace(replace(role, '\', '\\'), '<|', '\<|'), '|', '\|') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(7 + length(r) + 2 + length(e) + 8) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+}
