@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcloom.functions.durable import durable
+
 REDUCERS = {"sum": F.sum, "add": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "mul": F.product}
 
 
@@ -152,9 +154,15 @@ def quantile_labels(df: DataFrame, column: str, classes: int) -> DataFrame:
 
 
 def encoded(df: DataFrame, column: str) -> DataFrame:
-    """Codes from 0 in the order of the distinct values."""
-    values = df.select(F.col(column).alias("value")).distinct()
-    codes = values.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    """Codes from 0 in the order of the distinct values.
+
+    Values are dealt out in ranges, which a checkpoint makes lasting; ranks are counted inside them, and the ranges'
+    sizes added up.
+    """
+    values = durable(df.select(F.col(column).alias("value")).distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    before = values.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1)
+    codes = ranked.join(F.broadcast(before), "part").select("value", (F.col("r") + F.col("before")).cast("long").alias("code"))
     return df.join(codes, F.col(column) == F.col("value")).drop("value")
 
 

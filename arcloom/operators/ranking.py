@@ -29,11 +29,11 @@ def perturbed(nodes: DataFrame, eps: float, noise: Column) -> DataFrame:
 
 
 def info_nce(a: DataFrame, b: DataFrame, temperature: float) -> DataFrame:
-    """-log(exp(s_ii/t) / sum_j exp(s_ij/t)) by row, for two small tables of embeddings of the same ids."""
+    """-log(exp(s_ii/t) / sum_j exp(s_ij/t)) by row, for two tables of embeddings of the same ids (a batch, as all pairs are scored)."""
     unit = lambda x: F.transform(x, lambda v: v / norm(x))
     left = a.select("id", unit(F.col("x")).alias("x"))
     right = b.select(F.col("id").alias("j"), unit(F.col("x")).alias("y"))
-    s = left.crossJoin(F.broadcast(right)).select("id", "j", F.exp(dot(F.col("x"), F.col("y")) / temperature).alias("e"))
+    s = left.crossJoin(right).select("id", "j", F.exp(dot(F.col("x"), F.col("y")) / temperature).alias("e"))
     return s.groupBy("id").agg((-F.log(F.sum(F.when(F.col("id") == F.col("j"), F.col("e"))) / F.sum("e"))).alias("loss"))
 
 

@@ -25,7 +25,7 @@ def _split(spark, sf):
 
 def _scores(p):
     u, i = p.select("user_id").distinct(), p.select("item_id").distinct()
-    return u.crossJoin(F.broadcast(i)).withColumn("score", draw(F.col("user_id"), F.col("item_id"), 9).cast("double"))
+    return u.crossJoin(i).withColumn("score", draw(F.col("user_id"), F.col("item_id"), 9).cast("double"))
 
 
 def _ranked(spark, sf, k=200):
@@ -86,7 +86,7 @@ def _(spark, sf):
     e = _emb(spark, sf)
     m = e.select(F.col("id").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     d = (F.col("a") - F.col("a2")) * (F.col("a") - F.col("a2")) + (F.col("b") - F.col("b2")) * (F.col("b") - F.col("b2"))
-    return e.crossJoin(F.broadcast(m)).where("id <> j").agg(F.round(F.log(F.avg(F.exp(-2 * d))), 5).alias("uniformity"))
+    return e.crossJoin(m).where("id <> j").agg(F.round(F.log(F.avg(F.exp(-2 * d))), 5).alias("uniformity"))
 
 
 for _name, _eps in (("bpr_loss", 1e-8), ("bpr_loss_gamma", 1e-3)):
