@@ -12,8 +12,9 @@ partner there.
 
 Signatures are packed into binary rows, a row for each Arrow batch and bucket, so that a shuffle moves about eight
 bytes for each. Equal sets are one node: a group of copies sends one signature a batch. Pairs that share a signature are
-verified on the whole sets. Of a costly signature only a star is verified first; what then is in one class needs no
-further pair, and all other pairs with a set that had to look there are verified too. No pair is lost.
+verified on the whole sets, unless they share fewer segments than similar sets must. Of a costly signature the arms of
+a star are verified first; what then is in one class needs no further pair, and all other pairs with a set that could
+not afford to pass the signature over are verified too. No pair is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, runtime, textvec
@@ -34,13 +35,19 @@ WIDTH, NUM, DEN = 5, 3, 4
 #: A signature of more sets than this is costly; segments of each band whose one-deletion neighbourhoods are indexed.
 COSTLY, SPARE = 8, 2
 #: Signatures of a bucket, about; bits of the filter of documents whose sets are looked up again.
-PER_BUCKET, FILTER_BITS = 3_000_000, 1 << 26
+PER_BUCKET, FILTER_BITS = 1_500_000, 1 << 26
+#: Bytes of text whose signatures one packed row may hold; 64-bit words of a set's parity sketch.
+FLUSH_BYTES, SKETCH = 8 << 20, 8
+_SKETCH = [f"s{k}" for k in range(SKETCH)]
 
 
 @dataclass(frozen=True)
 class Bands:
     """Segment counts. `factor` multiplies them; `only` are the bands in use (None: all)."""
 
+    #: part of a set that may lie in costly segments, of passages that many documents share, without being looked at
+    common = 0.5
+
     num: int = NUM
     den: int = DEN
     factor: int = 1
@@ -52,14 +59,16 @@ class Bands:
         return (size + larger) * (self.den - self.num) // (self.den + self.num)
 
     def segments(self, band: int) -> int:
-        """The least m with which a set of the band, but for a chance of about 1e-6, has errors + 1 filled segments."""
+        """The least m with which a set of the band, but for a chance of about 1e-6, has errors + 1 segments that are
+        filled by the part of it that is not common."""
         top = (2 << band) - 1
         need = self.errors(top) + 1
         lo, hi = need, 64 * top + 64
         while lo < hi:
             m = (lo + hi) // 2
-            e = math.exp(-top / m)
-            filled, spread = m * (1 - e), math.sqrt(max(0.0, m * e * (1 - (1 + top / m) * e)))
+            rare = top * (1 - self.common)
+            e = math.exp(-rare / m)
+            filled, spread = m * (1 - e), math.sqrt(max(0.0, m * e * (1 - (1 + rare / m) * e)))
             lo, hi = (lo, m) if filled - 5 * spread - 1 >= need or m >= 32 * top else (m + 1, hi)
         return lo * self.factor
 
@@ -80,12 +89,12 @@ def identity(x: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.maximum(out, np.uint64(1)), np.uint64(0)).astype(np.int64)
 
 
-def signatures(x: np.ndarray, of: np.ndarray, band: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For sets (shingle, set number; the band and m of each set): signature, set and cost of each, and the sum of
-    allowances that each set can give."""
+def signatures(x: np.ndarray, of: np.ndarray, band: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For sets (shingle, set number; the band and m of each set): signature, set and cost of each; then the sum of
+    allowances that each set can give, and the number of its filled segments."""
     count = len(band)
     if not len(x):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(count, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(count, np.int64), np.zeros(count, np.int64)
     y = textvec.mix(x + (band[of].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     # a multiply-shift on the upper half picks the segment
     segment = ((y >> np.uint64(32)) * m[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
@@ -105,16 +114,25 @@ def signatures(x: np.ndarray, of: np.ndarray, band: np.ndarray, m: np.ndarray) -
     sig = textvec.mix(np.concatenate([total, left]) ^ np.concatenate([salt, salt[seg_of]]))
     sets_of = np.concatenate([owner, owner[seg_of]])
     cost = np.concatenate([1 + spare, np.full(len(left), 2)]).astype(np.int8)
-    allowance = np.bincount(owner, minlength=count) + np.bincount(owner[spare], minlength=count)
-    return sig, sets_of, cost, allowance
+    filled = np.bincount(owner, minlength=count)
+    return sig, sets_of, cost, filled + np.bincount(owner[spare], minlength=count), filled
 
 
 def _band(n: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 1
 
 
+def parities(x: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """Of each set, for each of 64 * SKETCH cells the parity of its shingles there. Each shingle that two sets do not
+    share turns one cell, so sets that differ in d shingles have sketches that differ in d bits at most."""
+    cells = 64 * SKETCH
+    bits = np.bincount(of * cells + (textvec.mix(x ^ np.uint64(0x1234567)) % np.uint64(cells)).astype(np.int64), minlength=count * cells) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(count, cells), axis=1).view(np.int64).reshape(count, SKETCH)
+
+
 def described(docs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (size of the set), node, spare: what the set's allowances add up to beyond the errors."""
+    """doc_id, n (size of the set), node, filled (segments), spare (what allowances add up to beyond the errors),
+    and the parity sketch."""
     table = bands.table()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +143,13 @@ def described(docs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
                 n = np.bincount(of, minlength=hi - lo)
                 begin = np.concatenate([[0], np.cumsum(n)])
                 band = _band(n)
-                _, _, _, allowance = signatures(x, of, band, table[band])
+                _, _, _, allowance, filled = signatures(x, of, band, table[band])
                 errors = (n + n * bands.den // bands.num) * (bands.den - bands.num) // (bands.den + bands.num)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(identity(x, begin, n)), pa.array(allowance - errors - 1)], ["doc_id", "n", "node", "spare"])
+                sketch = parities(x, of, hi - lo)
+                columns = [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(identity(x, begin, n)), pa.array(filled), pa.array(allowance - errors - 1), *(pa.array(sketch[:, k]) for k in range(SKETCH))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "filled", "spare", *_SKETCH])
 
-    return runtime.pick(docs, "doc_id", "text").mapInArrow(describe, "doc_id long, n long, node long, spare long")
+    return runtime.pick(docs, "doc_id", "text").mapInArrow(describe, "doc_id long, n long, node long, filled long, spare long" + "".join(f", {c} long" for c in _SKETCH))
 
 
 def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int = WIDTH) -> DataFrame:
@@ -137,59 +157,67 @@ def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int =
     table = bands.table()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            data, off = runtime.utf8(b.column(1))
-            seen: set[int] = set()
-            nodes, sizes, sigs, owners, costs, held = [], [], [], [], [], 0
-            for lo, hi in runtime.steps(off):
-                x, of = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
-                n = np.bincount(of, minlength=hi - lo)
-                node = identity(x, np.concatenate([[0], np.cumsum(n)]), n)
-                keep = np.zeros(hi - lo, bool)
-                for i, v in enumerate(node.tolist()):  # a batch's copies are one
-                    if v and v not in seen:
-                        seen.add(v)
-                        keep[i] = True
-                number = np.cumsum(keep) - 1
-                own = keep[of]
-                x, of, node, n = x[own], number[of[own]], node[keep], n[keep]
-                band = _band(n)
-                for down in (0, 1):
-                    use = np.ones(len(n), bool) if not down else (band > 0) & (-(-n * bands.num // bands.den) < (1 << np.maximum(band, 0)))
-                    if bands.only is not None:
-                        use &= np.isin(band - down, bands.only)
-                    if not use.any():
-                        continue
-                    put, pick = np.cumsum(use) - 1, use[of]
-                    s, o, c, _ = signatures(x[pick], put[of[pick]], band[use] - down, table[band[use] - down])
-                    sigs.append(s)
-                    owners.append(np.flatnonzero(use)[o] + held)
-                    costs.append(c if not down else np.zeros_like(c))  # a visitor gives no allowance
-                nodes.append(node)
-                sizes.append(n)
-                held += len(n)
-            if not sigs:
-                continue
-            sig, owner, cost = np.concatenate(sigs), np.concatenate(owners), np.concatenate(costs)
-            node, n = np.concatenate(nodes), np.concatenate(sizes)
-            bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            sig, owner, cost, bucket = sig[order], owner[order], cost[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            rows = []
-            for at, end in zip(first, np.append(first[1:], len(bucket)), strict=True):
-                used, local = np.unique(owner[at:end], return_inverse=True)
-                low = sig[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((int(bucket[at]), low.tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), cost[at:end].tobytes(), node[used].tobytes(), n[used].astype("<i4").tobytes()))
-            k, *rest = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(r, pa.binary()) for r in rest)], ["bucket", "sig", "own", "cost", "node", "n"])
+            whole, ends = runtime.utf8(b.column(1))
+            for first_row, last_row in runtime.steps(ends, FLUSH_BYTES):
+                part = packed(whole[ends[first_row] : ends[last_row]], ends[first_row : last_row + 1] - ends[first_row], seen)
+                if part is not None:
+                    yield part
+
+    def packed(data: np.ndarray, off: np.ndarray, seen: set[int]) -> pa.RecordBatch | None:
+        nodes, sizes, sigs, owners, costs, held = [], [], [], [], [], 0
+        for lo, hi in runtime.steps(off):
+            x, of = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
+            n = np.bincount(of, minlength=hi - lo)
+            node = identity(x, np.concatenate([[0], np.cumsum(n)]), n)
+            keep = np.zeros(hi - lo, bool)
+            if len(seen) > 500_000:
+                seen.clear()
+            for i, v in enumerate(node.tolist()):  # copies in one task are one, as far as it remembers
+                if v and v not in seen:
+                    seen.add(v)
+                    keep[i] = True
+            number = np.cumsum(keep) - 1
+            own = keep[of]
+            x, of, node, n = x[own], number[of[own]], node[keep], n[keep]
+            band = _band(n)
+            for down in (0, 1):
+                use = np.ones(len(n), bool) if not down else (band > 0) & (-(-n * bands.num // bands.den) < (1 << np.maximum(band, 0)))
+                if bands.only is not None:
+                    use &= np.isin(band - down, bands.only)
+                if not use.any():
+                    continue
+                put, pick = np.cumsum(use) - 1, use[of]
+                s, o, c, *_ = signatures(x[pick], put[of[pick]], band[use] - down, table[band[use] - down])
+                sigs.append(s)
+                owners.append(np.flatnonzero(use)[o] + held)
+                costs.append(c if not down else np.zeros_like(c))  # a visitor gives no allowance
+            nodes.append(node)
+            sizes.append(n)
+            held += len(n)
+        if not sigs:
+            return None
+        sig, owner, cost = np.concatenate(sigs), np.concatenate(owners), np.concatenate(costs)
+        node, n = np.concatenate(nodes), np.concatenate(sizes)
+        bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        sig, owner, cost, bucket = sig[order], owner[order], cost[order], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        rows = []
+        for at, end in zip(first, np.append(first[1:], len(bucket)), strict=True):
+            used, local = np.unique(owner[at:end], return_inverse=True)
+            low = sig[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append((int(bucket[at]), low.tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), cost[at:end].tobytes(), node[used].tobytes(), n[used].astype("<i4").tobytes()))
+        k, *rest = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(r, pa.binary()) for r in rest)], ["bucket", "sig", "own", "cost", "node", "n"])
 
     return runtime.pick(docs, "doc_id", "text").mapInArrow(emit, "bucket long, sig binary, own binary, cost binary, node binary, n binary")
 
 
 def _collisions(bands: Bands):
-    """For one bucket: pairs of sets that share a signature. kind 0: pair (a, b). kind 1: (star, member) of a costly
-    signature with the member's cost; its run is `run`."""
+    """For one bucket: sets that share a signature. kind 0: a pair (the smaller set first) and how many signatures it
+    shares here. kind 1: for a costly signature, its run, the run's star and size, and each member."""
 
     def find(table: pa.Table) -> pa.Table:
         sig, node, n, cost = [], [], [], []
@@ -221,26 +249,25 @@ def _collisions(bands: Bands):
         size = np.diff(np.append(begin, len(run)))
         place = np.arange(len(run)) - np.repeat(begin, size)
         width = np.repeat(size, size)
-        a, b, na, nb = [], [], [], []
-        for gap in range(1, COSTLY):  # all pairs of a run that is not costly
+        found = []
+        for gap in range(1, COSTLY):  # all pairs of a run that is not costly, but of two visitors
             i = np.flatnonzero((width <= COSTLY) & (place + gap < width))
-            a.append(node[i])
-            b.append(node[i + gap])
-            na.append(n[i])
-            nb.append(n[i + gap])
-        a, b, na, nb = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, na, nb))
-        fits = np.minimum(na, nb) * bands.den >= np.maximum(na, nb) * bands.num
-        pairs = np.unique(np.stack([a[fits], b[fits]], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+            found.append(np.stack([i, i + gap], 1)[(cost[i] > 0) | (cost[i + gap] > 0)])
+        i, j = np.concatenate(found).T if found else (np.zeros(0, np.int64),) * 2
+        turn = (n[i] > n[j]) | (n[i] == n[j]) & (node[i] > node[j])
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        fits = n[i] * bands.den >= n[j] * bands.num
+        i, j = i[fits], j[fits]
+        order = np.lexsort((node[j], node[i]))
+        i, j = i[order], j[order]
+        head = np.flatnonzero(np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])) if len(i) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(head, len(i)))
+        i, j = i[head], j[head]
         hot = width > COSTLY
-        star = np.repeat(node[begin], size)[hot]
-        k = len(pairs)
-        zero = np.zeros(k, np.int64)
-        return pa.table({
-            "kind": pa.array(np.concatenate([zero, zero[:0] + 1, np.ones(int(hot.sum()), np.int64)]).astype(np.int32)),
-            "a": pa.array(np.concatenate([pairs[:, 0], star])), "b": pa.array(np.concatenate([pairs[:, 1], node[hot]])),
-            "run": pa.array(np.concatenate([zero, sig[hot].astype(np.int64)])), "n": pa.array(np.concatenate([zero, n[hot]])),
-            "cost": pa.array(np.concatenate([zero, cost[hot].astype(np.int64)]).astype(np.int32)),
-        })
+        star = np.repeat(node[begin], size)
+        both = lambda u, v: pa.array(np.concatenate([u, v]).astype(np.int64))
+        k, h = len(i), int(hot.sum())
+        return pa.table({"kind": pa.array(np.repeat([0, 1], [k, h]).astype(np.int32)), "a": both(node[i], star[hot]), "b": both(node[j], node[hot]), "na": both(n[i], n[hot]), "nb": both(n[j], width[hot]), "c": both(shared, cost[hot]), "run": both(np.zeros(k), sig[hot].astype(np.int64))})
 
     return find
 
@@ -296,27 +323,40 @@ def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, bands: Bands,
 def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, width: int) -> DataFrame:
     """The links (a, b) found with these bands: enough that components are those of all links."""
     total = sets_.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(8, total * 0.65 * bands.factor // PER_BUCKET))
-    found = packed_signatures(docs, bands, buckets, width).groupBy("bucket").applyInArrow(_collisions(bands), "kind int, a long, b long, run long, n long, cost int")
+    buckets = int(max(8, total * 0.8 * bands.factor // PER_BUCKET))
+    found = packed_signatures(docs, bands, buckets, width).groupBy("bucket").applyInArrow(_collisions(bands), "kind int, a long, b long, na long, nb long, c long, run long")
     found = runtime.checkpoint(found)
-    hot = found.where("kind = 1")
-    pairs = found.where("kind = 0").select("a", "b").union(hot.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    info = sets_.groupBy("node").agg(F.min("n").alias("n"), F.min("filled").alias("filled"), F.min("spare").alias("spare"), *[F.min(c).alias(c) for c in _SKETCH])
+    hot = found.where("kind = 1").select("run", F.col("a").alias("star"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("size"), F.col("c").alias("cost"))
+    paid = hot.groupBy("node").agg(F.sum("cost").alias("paid"))
+    info = runtime.checkpoint(info.join(paid, "node", "left").select("node", "n", "filled", "spare", F.coalesce("paid", F.lit(0)).alias("paid"), *_SKETCH))
+    # each shingle in which two sets differ spoils one segment at most, so similar sets share all but `errors` segments,
+    # those that were costly, and so are not counted here, aside
+    plain = found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("shared"), F.max("nb").alias("nb"))
+    plain = plain.join(info.select(F.col("node").alias("a"), "n", "filled", "paid"), "a")
+    errors = F.floor((F.col("n") + F.col("nb")) * (bands.den - bands.num) / (bands.den + bands.num))
+    pairs = plain.where(F.col("shared") + F.col("paid") >= F.col("filled") - errors).select("a", "b")
+    # arms of stars are a short cut: where they turn out to be links, whole groups are one class
+    arms = hot.where("star != node").groupBy("star", "node").agg(F.count("*").alias("shared"))
+    arms = arms.join(info.select("node", "filled"), "node").where(F.col("shared") * 4 >= F.col("filled")).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b"))
+    pairs = runtime.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(arms).distinct())
     seen = runtime.checkpoint(verified(docs, first, pairs, bands, width))
     links = seen.where("similar").select("a", "b")
-    # runs of which a star's arm is no link
-    broken = hot.join(seen.where(~F.col("similar")).select(F.explode(F.array("a", "b")).alias("a")).distinct(), "a", "left_semi")
-    if broken.limit(1).count() == 0:
+    # a set that can afford it gives its costliest signatures no allowance; in the others it must look
+    asks = hot.where("cost > 0").join(info.where("paid > spare").select("node", "spare"), "node")
+    asks = asks.withColumn("skipped", F.sum("cost").over(Window.partitionBy("node").orderBy(F.desc("size"), "run").rowsBetween(Window.unboundedPreceding, 0)))
+    asks = runtime.checkpoint(asks.where(F.col("skipped") > F.col("spare")).select("run", "node", "n"))
+    if asks.limit(1).count() == 0:
         return links
     roots = components.components(links)
-    paid = hot.groupBy(F.col("b").alias("node")).agg(F.sum("cost").alias("paid"))
-    needy = paid.join(sets_.groupBy("node").agg(F.min("spare").alias("spare")), "node").where(F.col("spare") < F.col("paid")).select("node", F.lit(True).alias("needy"))
-    member = broken.select("run", F.col("b").alias("node"), "n", "cost").join(roots, "node", "left").select("run", "node", "n", "cost", F.coalesce("root", "node").alias("root"))
+    member = hot.join(asks.select("run").distinct(), "run", "left_semi").select("run", "node", "n").join(roots, "node", "left").select("run", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = member.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("run")
-    member = runtime.checkpoint(member.join(mixed, "run", "left_semi").join(needy, "node", "left"))
-    asks = member.where("needy AND cost > 0")
-    other = member.select("run", F.col("node").alias("o"), F.col("n").alias("no"), F.col("root").alias("ro"))
-    more = asks.join(other, "run").where((F.col("root") != F.col("ro")) & (F.least("n", "no") * bands.den >= F.greatest("n", "no") * bands.num))
-    more = more.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+    member = runtime.checkpoint(member.join(mixed, "run", "left_semi"))
+    sketch = info.select("node", *_SKETCH)
+    asks = asks.join(mixed, "run", "left_semi").join(roots, "node", "left").join(sketch, "node").select("run", "node", "n", F.coalesce("root", "node").alias("root"), *_SKETCH)
+    other = member.join(sketch, "node").select(F.col("run").alias("r"), F.col("node").alias("o"), F.col("n").alias("no"), F.col("root").alias("ro"), *[F.col(c).alias(f"o{c}") for c in _SKETCH])
+    fits = (F.col("run") == F.col("r")) & (F.col("root") != F.col("ro")) & (F.col("n") <= F.col("no")) & (F.col("n") * bands.den >= F.col("no") * bands.num)
+    more = asks.join(other, fits).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
     more = runtime.checkpoint(more)
     if more.limit(1).count() == 0:
         return links
