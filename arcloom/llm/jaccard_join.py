@@ -136,6 +136,7 @@ def described(docs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
     table = bands.table()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("near copies")
         for b in batches:
             data, off = runtime.utf8(b.column(1))
             for lo, hi in runtime.steps(off):
@@ -157,6 +158,7 @@ def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int =
     table = bands.table()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("near copies")
         seen: set[int] = set()
         for b in batches:
             whole, ends = runtime.utf8(b.column(1))
@@ -355,7 +357,9 @@ def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, wi
     sketch = info.select("node", *_SKETCH)
     asks = asks.join(mixed, "run", "left_semi").join(roots, "node", "left").join(sketch, "node").select("run", "node", "n", F.coalesce("root", "node").alias("root"), *_SKETCH)
     other = member.join(sketch, "node").select(F.col("run").alias("r"), F.col("node").alias("o"), F.col("n").alias("no"), F.col("root").alias("ro"), *[F.col(c).alias(f"o{c}") for c in _SKETCH])
-    fits = (F.col("run") == F.col("r")) & (F.col("root") != F.col("ro")) & (F.col("n") <= F.col("no")) & (F.col("n") * bands.den >= F.col("no") * bands.num)
+    # sketches that differ in more bits than similar sets differ in shingles rule a pair out
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in _SKETCH), F.lit(0))
+    fits = (F.col("run") == F.col("r")) & (F.col("root") != F.col("ro")) & (F.col("n") <= F.col("no")) & (F.col("n") * bands.den >= F.col("no") * bands.num) & (apart * (bands.den + bands.num) <= (F.col("n") + F.col("no")) * (bands.den - bands.num))
     more = asks.join(other, fits).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
     more = runtime.checkpoint(more)
     if more.limit(1).count() == 0:
