@@ -329,7 +329,7 @@ def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, wi
     found = packed_signatures(docs, bands, buckets, width).groupBy("bucket").applyInArrow(_collisions(bands), "kind int, a long, b long, na long, nb long, c long, run long")
     found = runtime.checkpoint(found)
     info = sets_.groupBy("node").agg(F.min("n").alias("n"), F.min("filled").alias("filled"), F.min("spare").alias("spare"), *[F.min(c).alias(c) for c in _SKETCH])
-    hot = found.where("kind = 1").select("run", F.col("a").alias("star"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("size"), F.col("c").alias("cost"))
+    hot = found.where("kind = 1").select("run", F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("size"), F.col("c").alias("cost"))
     paid = hot.groupBy("node").agg(F.sum("cost").alias("paid"))
     info = runtime.checkpoint(info.join(paid, "node", "left").select("node", "n", "filled", "spare", F.coalesce("paid", F.lit(0)).alias("paid"), *_SKETCH))
     # each shingle in which two sets differ spoils one segment at most, so similar sets share all but `errors` segments,
@@ -338,8 +338,11 @@ def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, wi
     plain = plain.join(info.select(F.col("node").alias("a"), "n", "filled", "paid"), "a")
     errors = F.floor((F.col("n") + F.col("nb")) * (bands.den - bands.num) / (bands.den + bands.num))
     pairs = plain.where(F.col("shared") + F.col("paid") >= F.col("filled") - errors).select("a", "b")
-    # arms of stars are a short cut: where they turn out to be links, whole groups are one class
-    arms = hot.where("star != node").groupBy("star", "node").agg(F.count("*").alias("shared"))
+    # Arms of stars are a short cut: where they turn out to be links, whole groups are one class. The star of a run is
+    # the set that shares most of itself with others: of edited copies that is what they were made from.
+    common = info.select("node", (F.col("paid") / F.greatest("filled", F.lit(1))).alias("common"))
+    stars = hot.select("run", "node").join(common, "node").groupBy("run").agg(F.max_by("node", "common").alias("star"))
+    arms = hot.select("run", "node").join(stars, "run").where("star != node").groupBy("star", "node").agg(F.count("*").alias("shared"))
     arms = arms.join(info.select("node", "filled"), "node").where(F.col("shared") * 4 >= F.col("filled")).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b"))
     pairs = runtime.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(arms).distinct())
     seen = runtime.checkpoint(verified(docs, first, pairs, bands, width))
