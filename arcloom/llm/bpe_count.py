@@ -134,6 +134,7 @@ def token_counts(docs: DataFrame, model: str, limit: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("counts", _mergers.clear)
         m = merger(model)
         for b in batches:
             _, off = runtime.utf8(b.column(1))

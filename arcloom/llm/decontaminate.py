@@ -135,6 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
         shared = runtime.Shared(docs.sparkSession, (part, rate), Matcher)
 
         def search(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            runtime.alone("decontamination", runtime._held.clear)
             for b in it:
                 m = shared.get()
                 found = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for hit in m.find(normal(t.as_py()))]
@@ -153,6 +154,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
         shared = runtime.Shared(docs.sparkSession, (part, rate), Matcher)
 
         def keep(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            runtime.alone("decontamination", runtime._held.clear)
             for b in it:
                 m = shared.get()
                 yield b.filter(pa.array([not m.find(normal(t.as_py())) for t in b.column(text)], pa.bool_()))

@@ -150,6 +150,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("language")
         for b in batches:
             lang, score = zip(*(profiles.predict(t.as_py()) for t in b.column(1)), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     """doc_id, piece, start, length, ids_crc32: what is to be packed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("packing", _encoders.clear)
         e, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             _, off = runtime.utf8(b.column(1))

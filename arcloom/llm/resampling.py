@@ -79,6 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marked = _marked(docs, labels)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("quality")
         raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
         for b in batches:
             data, off = runtime.utf8(b.column(0))
@@ -109,6 +110,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("quality")
         for b in batches:
             data, off = runtime.utf8(b.column(1))
             w = np.zeros(b.num_rows)
@@ -179,6 +181,7 @@ def selected(docs: DataFrame, model: Model, k: int | None = None, seed: int = SE
     text, schema = docs.columns.index("text"), docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("quality")
         for b in batches:
             data, off = runtime.utf8(b.column(text))
             w = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).copy()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 _held: dict[str, object] = {}
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called as a task of `owner` begins in a Python worker: what other operators remember in this worker is dropped,
+    and `forget` drops what this one will, when another comes. Workers outlive stages; their memories must not add up."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        _kept.pop(k)()
+    if forget:
+        _kept[owner] = forget
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Shared:

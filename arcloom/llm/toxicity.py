@@ -317,6 +317,7 @@ def clean(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("toxicity", runtime._held.clear)
         for b in batches:
             yield b.filter(pa.array(_scores(shared.get(), b.column(text)) < threshold))
 
@@ -332,6 +333,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     shared = runtime.Shared(docs.sparkSession, (net.lean_word, net.lean_gram, net.p), Network)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("toxicity", runtime._held.clear)
         for b in batches:
             s = _scores(shared.get(), b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
