@@ -150,6 +150,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no test item is found, with all their columns."""
     text = docs.columns.index("text")
+    runtime.small_batches(docs.sparkSession)
     for part in _passes(benchmark):
         shared = runtime.Shared(docs.sparkSession, (part, rate), Matcher)
 

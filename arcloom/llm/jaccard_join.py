@@ -37,7 +37,7 @@ COSTLY, SPARE = 8, 2
 #: Signatures of a bucket, about; bits of the filter of documents whose sets are looked up again.
 PER_BUCKET, FILTER_BITS = 1_500_000, 1 << 26
 #: Bytes of text whose signatures one packed row may hold; 64-bit words of a set's parity sketch.
-FLUSH_BYTES, SKETCH = 8 << 20, 8
+FLUSH_BYTES, SKETCH = 4 << 20, 8
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
 
 
@@ -166,6 +166,7 @@ def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int =
                 part = packed(whole[ends[first_row] : ends[last_row]], ends[first_row : last_row + 1] - ends[first_row], seen)
                 if part is not None:
                     yield part
+        runtime.trim()
 
     def packed(data: np.ndarray, off: np.ndarray, seen: set[int]) -> pa.RecordBatch | None:
         nodes, sizes, sigs, owners, costs, held = [], [], [], [], [], 0

@@ -19,8 +19,26 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch; the default of 10,000 whole texts is tens of MB on both sides of each worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows from now on in this session, unless someone has set their size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, which else keeps it in the worker."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The columns `names` alone, found by exact name; others, clashing ones included, are left behind."""
+    small_batches(df.sparkSession)
     have = df.columns
     flat = df.toDF(*[f"_c{i}" for i in range(len(have))])
     return flat.select(*[F.col(f"_c{have.index(n)}").alias(n) for n in names])
@@ -55,8 +73,7 @@ def alone(owner: str, forget: Callable[[], None] | None = None) -> None:
         _kept[owner] = forget
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
 
 class Shared:

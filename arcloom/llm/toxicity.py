@@ -313,6 +313,7 @@ def _scores(own: Network, column: pa.Array) -> np.ndarray:
 
 def clean(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
+    runtime.small_batches(docs.sparkSession)
     shared = runtime.Shared(docs.sparkSession, (net.lean_word, net.lean_gram, net.p), Network)
     text = docs.columns.index("text")
 
