@@ -3,12 +3,14 @@
 A page is a stream of tags and texts, which a lenient parser nests. A few pages of each host are aligned one after
 another. Where neighbours in a stream repeat, they become a repeated group; what only some pages have becomes
 optional; texts that differ become slots, texts that agree stay as they are. The result is the host's wrapper. The
-part of it that holds the article is found once a host, and every page of the host is read at that place. A page
-that doesn't fit its host's wrapper has one inferred from itself.
+part of it that holds the article is found once a host, and every page of the host is read at that place. There a
+block is template, and left out, where all its texts are constant in the wrapper; slots stay. A page that doesn't fit
+its host's wrapper has one inferred from itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import pickle
 import re
@@ -23,6 +25,8 @@ from . import runtime
 #: Pages of a host that its wrapper is inferred from; hosts up to which their ids, and bytes up to which their
 #: wrappers, are shared with all executors (beyond, they are joined by host).
 SAMPLE, SHARED_HOSTS, SHARED_BYTES = 12, 50_000, 64 << 20
+#: Different pages that must agree on a text before it counts as template: copies of one article agree on all of it.
+LEAST = 8
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -96,19 +100,39 @@ def _close(stack: list[Node], names: set[str], scope: set[str]) -> None:
 # ---- wrappers -------------------------------------------------------------------------------------------------------
 # An item is [symbol, least, most, kids, chars]: least is 0 for what may be missing, most is 2 for what repeats. The
 # symbol of a text slot is "#text", with the text itself as kids while all pages agree on it; that of a repeated group
-# of several items is the tuple of theirs. chars: how much text pages have there.
+# of several items is the tuple of theirs. chars: how much text pages have there. Of marked pages, a text slot holds a
+# digest of text and path in place of the text, and a sixth value: marks of at most LEAST pages that agree on it.
 
 
-def _generalised(node: Node) -> list:
+def _digest(path: str, text: str) -> bytes:
+    return hashlib.blake2b(f"{path}\0{text}".encode(errors="surrogatepass"), digest_size=8).digest()
+
+
+def _mark(root: Node) -> bytes:
+    """Digest of the two longest texts that may be an article's: copies of an article have one mark."""
+    texts: set[str] = set()
+
+    def walk(node: Node) -> None:
+        for c in node[2]:
+            if isinstance(c, str):
+                texts.add(" ".join(c.split()))
+            elif not apart(c[0], True):
+                walk(c)
+
+    walk(root)
+    return _digest("", "\0".join(sorted(texts, key=lambda t: (-len(t), t))[:2]))
+
+
+def _generalised(node: Node, mark: bytes | None = None, path: str = "") -> list:
     kids, chars = [], 0
     for child in node[2]:
         if isinstance(child, str):
             text = " ".join(child.split())
             if text:
-                kids.append(["#text", 1, 1, text, len(text)])
+                kids.append(["#text", 1, 1, text, len(text)] if mark is None else ["#text", 1, 1, _digest(path, text), len(text), (mark,)])
                 chars += len(text)
         else:
-            kid = _generalised(child)
+            kid = _generalised(child, mark, f"{path}/{child[0]}")
             kids.append(kid)
             chars += kid[4]
     return [node[0], 1, 1, _fold(kids), chars]
@@ -145,7 +169,9 @@ def _merge(a: list, b: list) -> list:
     """The least general item that covers both, which have one symbol."""
     least, most, chars = min(a[1], b[1]), max(a[2], b[2]), a[4] + b[4]
     if a[0] == "#text":
-        return ["#text", least, most, a[3] if a[3] == b[3] else None, chars]
+        same = a[3] if a[3] == b[3] else None
+        marks = [() if same is None else tuple(sorted({*a[5], *b[5]})[:LEAST])] if len(a) > 5 else []
+        return ["#text", least, most, same, chars, *marks]
     return [a[0], least, most, _align(a[3], b[3]), chars]
 
 
@@ -170,11 +196,12 @@ def _align(a: list, b: list) -> list:
     return _fold(out)
 
 
-def infer(pages: list[str]) -> list:
+def infer(pages: list[str], marked: bool = False) -> list:
     """The wrapper of the pages, aligned one after another."""
     wrapper = None
     for page in pages:
-        own = _generalised(parse(page))
+        root = parse(page)
+        own = _generalised(root, _mark(root) if marked else None)
         wrapper = own if wrapper is None else _merge(wrapper, own)
     return wrapper
 
@@ -245,6 +272,21 @@ def article_path(wrapper: list) -> tuple[str, ...] | None:
     return max(held)[2] if held else None
 
 
+def constants(wrapper: list) -> frozenset[bytes]:
+    """Digests of the texts that the wrapper of marked pages knows to be template."""
+    out: set[bytes] = set()
+
+    def walk(item: list) -> None:
+        for x in item[3]:
+            if x[0] != "#text":
+                walk(x)
+            elif x[3] is not None and len(x[5]) >= LEAST:
+                out.add(x[3])
+
+    walk(wrapper)
+    return frozenset(out)
+
+
 def places(root: Node, path: tuple[str, ...]) -> list[Node]:
     """The nodes of the page at the path; several where its last item repeats."""
     level = [root]
@@ -253,21 +295,29 @@ def places(root: Node, path: tuple[str, ...]) -> list[Node]:
     return level
 
 
-def blocks(node: Node, out: list[str] | None = None) -> list[str]:
-    """The texts of the node's blocks in order, references decoded and white space made single."""
+def blocks(node: Node, out: list[str] | None = None, template: frozenset[bytes] = frozenset(), path: str = "") -> list[str]:
+    """The texts of the node's blocks in order, references decoded and white space made single. Left out are blocks
+    whose texts are all template; path is the node's."""
     held: list[str] = []
+    slot = False
     out = [] if out is None else out
 
     def end() -> None:
+        nonlocal slot
         text = " ".join("".join(held).split())
         held.clear()
-        if text:
+        if text and (slot or not template):
             out.append(text)
+        slot = False
 
-    def walk(x: Node) -> None:
+    def walk(x: Node, path: str) -> None:
+        nonlocal slot
         for c in x[2]:
             if isinstance(c, str):
                 held.append(entities.unescape(c))
+                if template and not slot:
+                    text = " ".join(c.split())
+                    slot = bool(text) and _digest(path, text) not in template
             elif c[1] == "br":
                 held.append(" ")
             elif apart(c[0], True):
@@ -275,28 +325,33 @@ def blocks(node: Node, out: list[str] | None = None) -> list[str]:
                     end()
             elif c[1] in _BLOCK:
                 end()
-                walk(c)
+                walk(c, f"{path}/{c[0]}")
                 end()
             else:
-                walk(c)
+                walk(c, f"{path}/{c[0]}")
 
-    walk(node)
+    walk(node, path)
     end()
     return out
 
 
-def extract(page: str | None, path: tuple[str, ...] | None) -> str:
-    """The main text of a page at the host's path, or at its own where the page has no such place."""
+def extract(page: str | None, path: tuple[str, ...] | None, template: frozenset[bytes] = frozenset()) -> str:
+    """The main text of a page at the host's path, or at its own where the page has no such place. A page with nothing
+    but template there keeps it."""
     if not page:
         return ""
     root = parse(page)
     found = places(root, path) if path else []
     if not found:
-        own = article_path(_generalised(root))
-        found = places(root, own) if own else [root]
+        path = article_path(_generalised(root))
+        found = places(root, path) if path else [root]
+    at = "".join(f"/{symbol}" for symbol in path or ())
     out: list[str] = []
-    for node in found:
-        blocks(node, out)
+    for known in (template, frozenset()) if template else (template,):
+        for node in found:
+            blocks(node, out, known, at)
+        if out:
+            break
     return "\n".join(out)
 
 
@@ -319,19 +374,20 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def learn(table: pa.Table) -> pa.Table:
         order = table["page_id"].to_pylist()
         htmls = [t for _, t in sorted(zip(order, table["html"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0])) if t]
-        path = article_path(infer(htmls)) if htmls else None
-        return pa.table({"host": table["host"].slice(0, 1), "path": pa.array([pickle.dumps(path)], pa.binary())})
+        wrapper = infer(htmls, True) if htmls else None
+        found = (article_path(wrapper), constants(wrapper)) if wrapper else (None, frozenset())
+        return pa.table({"host": table["host"].slice(0, 1), "found": pa.array([pickle.dumps(found)], pa.binary())})
 
-    wrappers = runtime.checkpoint(samples.groupBy("host").applyInArrow(learn, "host string, path binary"))
-    size = wrappers.agg(F.sum(F.length("path") + F.length("host"))).first()[0] or 0
+    wrappers = runtime.checkpoint(samples.groupBy("host").applyInArrow(learn, "host string, found binary"))
+    size = wrappers.agg(F.sum(F.length("found") + F.length("host"))).first()[0] or 0
 
-    def rows(b: pa.RecordBatch, paths: list[tuple[str, ...] | None]) -> pa.RecordBatch:
-        texts = [extract(t.as_py(), p) for t, p in zip(b.column(2), paths, strict=True)]
+    def rows(b: pa.RecordBatch, found: list[tuple | None]) -> pa.RecordBatch:
+        texts = [extract(t.as_py(), *f or (None,)) for t, f in zip(b.column(2), found, strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     out = "page_id long, url string, text string, n_chars long"
     if size <= SHARED_BYTES:
-        shared = spark.sparkContext.broadcast({r["host"]: r["path"] for r in wrappers.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r["host"]: r["found"] for r in wrappers.toLocalIterator()})
 
         def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = {k: pickle.loads(v) for k, v in shared.value.items()}
@@ -344,4 +400,4 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for b in it:
             yield rows(b, [pickle.loads(v) if v else None for v in b.column(3).to_pylist()])
 
-    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "path").mapInArrow(joined, out)
+    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "found").mapInArrow(joined, out)

@@ -468,3 +468,14 @@ def test_wrapper_is_a_union_free_expression():
     w = html.infer(["<div><p>a</p><p>b</p><i>same</i></div>", "<div><p>c</p><em>x</em><i>same</i></div>"])
     assert html.regular_expression(w) == "<#> <div> (<p> #PCDATA </>)+ (<em> x </>)? <i> same </> </> </>"
     assert html.regular_expression(html.infer(["<dl><dt>a<dd>b<dt>c<dd>d</dl>"])) == "<#> <dl> (<dt> #PCDATA </> <dd> #PCDATA </>)+ </> </>"
+
+
+def test_constant_text_of_a_host_is_template(spark):
+    body = lambda k: f"<div class=x7><p>Our shop is <b>open</b>.</p><i>Write to us</i></div><p>Story {k} about <b>{k * k}</b> things.</p><p>So <b>it</b> goes on {k}.</p>"
+    copy = "<p>The same story on every page.</p><h3>Only this story has a heading.</h3><p>And its end.</p>"
+    data = [(k, f"http://t.example/{k}", page(k, body(k))) for k in range(10)] + [(20 + k, f"http://c.example/{k}", page(k, copy)) for k in range(10)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in html.main_text(df, 64).collect()}
+    for k in range(10):
+        assert by[k] == f"Story {k} about {k * k} things.\nSo it goes on {k}."
+        assert by[20 + k] == "The same story on every page.\nOnly this story has a heading.\nAnd its end."
