@@ -1,11 +1,11 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of tags and texts, which a lenient parser nests. A few pages of each host are aligned one after
-another. Where neighbours in a stream repeat, they become a repeated group; what only some pages have becomes
-optional; texts that differ become slots, texts that agree stay as they are. The result is the host's wrapper. The
-part of it that holds the article is found once a host, and every page of the host is read at that place. There a
-block is template, and left out, where all its texts are constant in the wrapper; slots stay. A page that doesn't fit
-its host's wrapper has one inferred from itself.
+A page is a stream of tags and texts, which a lenient parser nests. All pages of a host are aligned: pages of one
+structure are laid over each other first, then structures are merged as a tree. Where neighbours in a stream repeat, they become a repeated group; what only some pages have becomes
+optional; texts that differ become slots, texts that agree stay as they are. The result is the host's wrapper. On the way there
+is one for each of the host's templates, that is pages with the same containers; the part that holds the article is
+found in that one, and every page of the template is read there. A block is template text, and left out, where all its
+texts are constant in the host's wrapper; slots stay.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: Pages of a host that its wrapper is inferred from; hosts up to which their ids, and bytes up to which their
-#: wrappers, are shared with all executors (beyond, they are joined by host).
-SAMPLE, SHARED_HOSTS, SHARED_BYTES = 12, 50_000, 64 << 20
+#: Wrappers that one step of the tree merges, about; bytes up to which what is found is shared with all executors
+#: (beyond, it is joined by host); structures that a task holds before it passes them on.
+FAN, SHARED_BYTES, HELD = 64, 64 << 20, 2000
 #: Different pages that must agree on a text before it counts as template: copies of one article agree on all of it.
 LEAST = 8
 
@@ -40,6 +40,7 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _APART = frozenset("nav aside footer header form script style noscript template head title button select textarea iframe svg math object dialog menu".split())
 _APART_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments disqus replies reply pagination pager toc copyright legal disclaimer".split())
 _MAIN_WORDS = frozenset("article main content post entry story body text".split())
+_HOLDERS = frozenset("article center div main section table td".split())
 
 Node = list  # [symbol, tag, children]; a child is a Node or a str
 
@@ -196,16 +197,54 @@ def _align(a: list, b: list) -> list:
     return _fold(out)
 
 
-def infer(pages: list[str], marked: bool = False) -> list:
+def infer(pages: list[str]) -> list:
     """The wrapper of the pages, aligned one after another."""
     wrapper = None
     for page in pages:
-        root = parse(page)
-        own = _generalised(root, _mark(root) if marked else None)
+        own = _generalised(parse(page))
         wrapper = own if wrapper is None else _merge(wrapper, own)
     return wrapper
 
 
+def structure(item: list) -> list:
+    """The wrapper without its texts."""
+    return [*item[:3], [structure(x) for x in item[3]] if isinstance(item[3], list) else None]
+
+
+def overlay(a: list, b: list) -> list:
+    """Two wrappers of one structure as one; in whatever order several are laid over each other, the result is one."""
+    if a[0] == "#text":
+        return _merge(a, b)
+    return [*a[:3], [overlay(x, y) for x, y in zip(a[3], b[3], strict=True)], a[4] + b[4]]
+
+
+def aligned(wrappers: list[tuple[int, list]]) -> list:
+    """One wrapper of (structure, wrapper), the same whatever their order."""
+    whole: dict[int, list] = {}
+    for key, w in wrappers:
+        whole[key] = overlay(whole[key], w) if key in whole else w
+    out = None
+    for key in sorted(whole):
+        out = whole[key] if out is None else _merge(out, whole[key])
+    return out
+
+
+def template_of(root: Node) -> int:
+    """The page's template: a hash of the paths of all containers in which an article could stand."""
+    found: set[str] = set()
+
+    def walk(node: Node, path: str) -> None:
+        for c in node[2]:
+            if not isinstance(c, str) and not apart(c[0], False):
+                own = f"{path}/{c[0]}"
+                if c[1] in _HOLDERS:
+                    found.add(own)
+                walk(c, own)
+
+    walk(root, "")
+    return int.from_bytes(_digest("", "\0".join(sorted(found))), "big", signed=True)
+
+
 def regular_expression(item: list) -> str:
     """The wrapper as text, with ? * + and (...) in their usual meanings."""
     sign = {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}[item[1], item[2]]
@@ -335,12 +374,13 @@ def blocks(node: Node, out: list[str] | None = None, template: frozenset[bytes]
     return out
 
 
-def extract(page: str | None, path: tuple[str, ...] | None, template: frozenset[bytes] = frozenset()) -> str:
-    """The main text of a page at the host's path, or at its own where the page has no such place. A page with nothing
-    but template there keeps it."""
+def extract(page: str | None, paths: dict[int, tuple[str, ...] | None], template: frozenset[bytes] = frozenset()) -> str:
+    """The main text of a page at its template's path, or at its own where the page has no such place. A page with
+    nothing but template text there keeps it."""
     if not page:
         return ""
     root = parse(page)
+    path = paths.get(template_of(root))
     found = places(root, path) if path else []
     if not found:
         path = article_path(_generalised(root))
@@ -355,7 +395,38 @@ def extract(page: str | None, path: tuple[str, ...] | None, template: frozenset[
     return "\n".join(out)
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _shapes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, template, shape, wrapper: the task's pages (html, host), those of one structure laid over each other."""
+    held: dict[tuple[str, int, int], list] = {}
+
+    def flush() -> pa.RecordBatch:
+        keys = list(held)
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], ["host", "template", "shape", "wrapper"])
+        held.clear()
+        return out
+
+    for b in it:
+        for page, host in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            page = page.as_py()
+            if not page:
+                continue
+            root = parse(page)
+            own = _generalised(root, _mark(root))
+            key = host, template_of(root), int.from_bytes(_digest("", repr(structure(own))), "big", signed=True)
+            held[key] = overlay(held[key], own) if key in held else own
+            if len(held) >= HELD:
+                yield flush()
+    yield flush()
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """The rows of one group as one, under the least shape."""
+    shapes = table["shape"].to_pylist()
+    wrapper = aligned([(k, pickle.loads(w)) for k, w in zip(shapes, table["wrapper"].to_pylist(), strict=True)])
+    return pa.table({"host": table["host"].slice(0, 1), "template": table["template"].slice(0, 1), "shape": pa.array([min(shapes)], pa.int64()), "wrapper": pa.array([pickle.dumps(wrapper)], pa.binary())})
+
+
+def main_text(pages: DataFrame, fan: int = FAN) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null or empty html gives an empty text. A url without a host, or null, counts as of one nameless host. Repeated
@@ -364,40 +435,58 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = runtime.pick(pages, "page_id", "url", "html").withColumn("host", host)
-    # the page of the least hash in each of `sample` slots of a host: no host's pages meet in one task
-    h = F.xxhash64("page_id", F.lit("slot"))
-    chosen = pages.where("html is not null").groupBy("host", F.pmod(h, F.lit(sample)).alias("slot")).agg(F.min_by("page_id", F.xxhash64("page_id")).alias("page_id"))
-    chosen = runtime.checkpoint(chosen.select("host", "page_id"))
-    few = chosen.count() <= SHARED_HOSTS * sample
-    samples = pages.select("host", "page_id", "html").join(F.broadcast(chosen) if few else chosen, ["host", "page_id"], "left_semi").dropDuplicates(["host", "page_id"])
-
-    def learn(table: pa.Table) -> pa.Table:
-        order = table["page_id"].to_pylist()
-        htmls = [t for _, t in sorted(zip(order, table["html"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0])) if t]
-        wrapper = infer(htmls, True) if htmls else None
-        found = (article_path(wrapper), constants(wrapper)) if wrapper else (None, frozenset())
-        return pa.table({"host": table["host"].slice(0, 1), "found": pa.array([pickle.dumps(found)], pa.binary())})
-
-    wrappers = runtime.checkpoint(samples.groupBy("host").applyInArrow(learn, "host string, found binary"))
-    size = wrappers.agg(F.sum(F.length("found") + F.length("host"))).first()[0] or 0
-
-    def rows(b: pa.RecordBatch, found: list[tuple | None]) -> pa.RecordBatch:
-        texts = [extract(t.as_py(), *f or (None,)) for t, f in zip(b.column(2), found, strict=True)]
+    held = "host string, template long, shape long, wrapper binary"
+
+    def tree(w: DataFrame, key: str, by: list[str]) -> DataFrame:
+        """One wrapper for each `by`; no task meets all of a large host, as groups are salted by `key` first."""
+        for salts in (fan * fan, fan):
+            w = w.groupBy(*by, F.pmod(key, F.lit(salts)).alias("salt")).applyInArrow(_aligned, held)
+        return w.groupBy(*by).applyInArrow(_aligned, held)
+
+    each = runtime.checkpoint(tree(pages.select("html", "host").mapInArrow(_shapes, held), "shape", ["host", "template"]))
+    whole = tree(each.withColumn("shape", F.col("template")), "template", ["host"])
+
+    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            path = [pickle.dumps(article_path(pickle.loads(w))) for w in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(path, pa.binary())], ["host", "template", "path"])
+
+    def texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [pickle.dumps(constants(pickle.loads(w))) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["host", "constants"])
+
+    paths = each.select("host", "template", "wrapper").mapInArrow(place, "host string, template long, path binary")
+    paths = paths.groupBy("host").agg(F.collect_list(F.struct("template", "path")).alias("paths"))
+    found = runtime.checkpoint(paths.join(whole.select("host", "wrapper").mapInArrow(texts, "host string, constants binary"), "host"))
+    size = found.agg(F.sum(F.length("constants") + F.length("host") + F.aggregate("paths", F.lit(0), lambda n, x: n + 8 + F.length(x["path"])))).first()[0] or 0
+
+    def rows(b: pa.RecordBatch, known: list[tuple | None]) -> pa.RecordBatch:
+        texts = [extract(t.as_py(), *k or ({},)) for t, k in zip(b.column(2), known, strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    def read_in(paths: list, template: bytes) -> tuple:
+        return {t: pickle.loads(p) for t, p in paths}, pickle.loads(template)
+
     out = "page_id long, url string, text string, n_chars long"
     if size <= SHARED_BYTES:
-        shared = spark.sparkContext.broadcast({r["host"]: r["found"] for r in wrappers.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r["host"]: ([tuple(x) for x in r["paths"]], bytes(r["constants"])) for r in found.toLocalIterator()})
 
         def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = {k: pickle.loads(v) for k, v in shared.value.items()}
+            known = {k: read_in(*v) for k, v in shared.value.items()}
             for b in it:
                 yield rows(b, [known.get(x) for x in b.column(3).to_pylist()])
 
         return pages.mapInArrow(read, out)
 
     def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, known = None, None
         for b in it:
-            yield rows(b, [pickle.loads(v) if v else None for v in b.column(3).to_pylist()])
-
-    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "found").mapInArrow(joined, out)
+            found = []
+            for x, p, c in zip(b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                if known is None or x != host:
+                    host, known = x, read_in([tuple(y.values()) for y in p.as_py()], c.as_py()) if c.is_valid else ({},)
+                found.append(known)
+            yield rows(b, found)
+
+    return pages.join(found, "host", "left").select("page_id", "url", "html", "host", "paths", "constants").mapInArrow(joined, out)

@@ -479,3 +479,22 @@ def test_constant_text_of_a_host_is_template(spark):
     for k in range(10):
         assert by[k] == f"Story {k} about {k * k} things.\nSo it goes on {k}."
         assert by[20 + k] == "The same story on every page.\nOnly this story has a heading.\nAnd its end."
+
+
+def test_a_rare_template_is_read_at_its_own_place(spark, monkeypatch):
+    long = lambda k: f"<p>The text of page {k}, which is long enough to be what its page is about, and so it is read.</p>"
+    usual = [f"<body><div class=content>{long(k)}</div></body>" for k in range(60)]
+    rare = [f"<body><div class=content><p>Teaser {k}</p></div><article>{long(k)}</article></body>" for k in (60, 61)]
+    data = [(k, f"http://t.example/{k}", t) for k, t in enumerate(usual + rare)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    want = {k: f"The text of page {k}, which is long enough to be what its page is about, and so it is read." for k in range(62)}
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+    monkeypatch.setattr(html, "SHARED_BYTES", 0)
+    assert {r["page_id"]: r["text"] for r in html.main_text(df.repartition(5), 2).collect()} == want
+
+
+def test_aligning_does_not_depend_on_order():
+    pages = [page(k, f"<h1>Head {k}</h1>" + "<p>x</p>" * (k % 3) + "<h2>same</h2>" * (k % 2)) for k in range(12)]
+    own = [html._generalised(r := html.parse(p), html._mark(r)) for p in pages]
+    keyed = [(hash(repr(html.structure(w))), w) for w in own]
+    assert html.aligned(keyed) == html.aligned(keyed[::-1]) == html.aligned([(k, html.aligned([(k, w)])) for k, w in sorted(keyed, key=lambda x: repr(x[1]))])
