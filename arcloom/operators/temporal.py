@@ -148,6 +148,15 @@ def frontier(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return found
 
 
+def near(events: DataFrame) -> DataFrame:
+    """event_id, nodes: both ends of each event and their neighbours over all events; frontier() of one step, by lists
+    of neighbours, so that no event's nodes are shuffled."""
+    both = events.select("src", "dst").unionAll(events.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    lists = both.groupBy("src").agg(F.collect_set("dst").alias("near"))
+    s, d = lists.withColumnRenamed("near", "_s"), lists.select(F.col("src").alias("dst"), F.col("near").alias("_d"))
+    return events.join(s, "src").join(d, "dst").select("event_id", F.array_distinct(F.concat(F.array("src", "dst"), "_s", "_d")).alias("nodes"))
+
+
 def dependencies(events: DataFrame, subgraph: DataFrame) -> DataFrame:
     """before_id, after_id: an earlier event that shares a node with a later one's subgraph."""
     ends = events.select("event_id", "t", F.col("src").alias("node")).unionAll(events.select("event_id", "t", F.col("dst").alias("node"))).distinct()

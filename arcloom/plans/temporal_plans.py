@@ -167,24 +167,31 @@ def _(spark, sf):
     return both.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-#: Events are analysed in batches of 50; a node's id names its batch, so that batches do not meet.
+# This SQL knows batches of 50 events alone, which do not meet. The queries have one graph of all events, and batches
+# only for pairs of events: their rows differ from the SQL's.
 _EV = "ev AS (SELECT event_id, ts AS t, event_id // 50 * 1000000 + user_id AS src, event_id // 50 * 1000000 + 900000 + CAST(floor(value) AS BIGINT) % 40 AS dst FROM events)"
 _SUB = f"{_EV}, two AS (SELECT src, dst FROM ev UNION SELECT dst, src FROM ev), s0 AS (SELECT event_id, src AS node FROM ev UNION SELECT event_id, dst FROM ev), sub AS (SELECT event_id, node FROM s0 UNION SELECT s0.event_id, two.dst FROM s0 JOIN two ON two.src = s0.node)"
 
 
 def _typed(spark, sf):
-    e, batch = V.table(spark, sf, "events"), F.floor(F.col("event_id") / 50) * 1_000_000
-    return e.select("event_id", F.col("ts").alias("t"), (batch + F.col("user_id")).alias("src"), (batch + 900_000 + F.floor("value") % 40).alias("dst"))
+    e = V.table(spark, sf, "events")
+    return e.select("event_id", F.col("ts").alias("t"), F.col("user_id").alias("src"), (900_000 + F.floor("value") % 40).alias("dst"))
 
 
-def _subgraph(e):
-    starts = e.select("event_id", F.col("src").alias("node")).unionAll(e.select("event_id", "dst"))
-    return T.frontier(starts, e, 1)
+def _dependencies(e):
+    """Dependencies between events of one batch of 50: an event's subgraph is of all events, but of its nodes only those
+    at which an event of its batch ends are looked at."""
+    batch = F.floor(F.col("event_id") / 50)
+    named = lambda c: (F.col("batch") * 1_000_000 + F.col(c)).alias(c)
+    e = e.withColumn("batch", batch)
+    ends = e.groupBy("batch").agg(F.array_union(F.collect_set("src"), F.collect_set("dst")).alias("ends"))
+    near = T.near(e).withColumn("batch", batch).join(ends, "batch").select("event_id", "batch", F.explode(F.array_intersect("nodes", "ends")).alias("node"))
+    return T.dependencies(e.select("event_id", "t", named("src"), named("dst")), near.select("event_id", named("node")))
 
 
 @query("event_subgraph", f"WITH {_SUB} SELECT event_id, node FROM sub")
 def _(spark, sf):
-    return _subgraph(_typed(spark, sf)).select("event_id", "node")
+    return T.near(_typed(spark, sf)).select("event_id", F.explode("nodes").alias("node"))
 
 
 _DEPS = f"{_SUB}, dep AS (SELECT DISTINCT a.event_id AS before_id, b.event_id AS after_id FROM (SELECT event_id, t, src AS node FROM ev UNION SELECT event_id, t, dst FROM ev) a JOIN sub s ON s.node = a.node JOIN ev b ON b.event_id = s.event_id AND a.t < b.t)"
@@ -192,14 +199,13 @@ _DEPS = f"{_SUB}, dep AS (SELECT DISTINCT a.event_id AS before_id, b.event_id AS
 
 @query("event_dependencies", f"WITH {_DEPS} SELECT before_id, after_id FROM dep")
 def _(spark, sf):
-    e = _typed(spark, sf)
-    return T.dependencies(e, _subgraph(e))
+    return _dependencies(_typed(spark, sf))
 
 
 @query("execution_layers", f"WITH RECURSIVE {_DEPS}, lv AS (SELECT event_id, 0 AS layer FROM ev UNION SELECT dep.after_id, lv.layer + 1 FROM lv JOIN dep ON dep.before_id = lv.event_id) SELECT event_id, CAST(max(layer) AS INTEGER) AS layer FROM lv GROUP BY event_id")
 def _(spark, sf):
     e = _typed(spark, sf)
-    return T.layers(e, T.dependencies(e, _subgraph(e)))
+    return T.layers(e, _dependencies(e))
 
 
 @query("versioned_embedding_read", "WITH u AS (SELECT user_id AS node, event_id AS version, value AS emb FROM events WHERE event_id <= 5000) SELECT c_custkey AS node, coalesce((SELECT arg_max(emb, version) FROM u WHERE u.node = c_custkey), 0.0) AS emb FROM customer")
