@@ -48,18 +48,20 @@ def label_propagation_parts(edges: DataFrame, nodes: DataFrame, parts: int, roun
     return state
 
 
-def shortest_paths(edges: DataFrame, most: int) -> DataFrame:
-    """gid, s, t, dist, parent: breadth first from every node of every (small) graph, up to `most` steps; of several
-    nodes before a target the smallest."""
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """gid, s, t, dist, parent: breadth first from every node of every (small) graph, until no graph has a new pair; of
+    several nodes before a target the smallest."""
     from arcloom.functions.durable import durable
 
     e = edges.select("gid", "src", "dst").distinct()
     found = e.select("gid", F.col("src").alias("s")).union(e.select("gid", "dst")).distinct()
     found = found.select("gid", "s", F.col("s").alias("t"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent"))
-    edge = found
-    for d in range(1, most + 1):
+    edge, d = found, 0
+    while True:
+        d += 1
         nxt = edge.select("gid", "s", F.col("t").alias("src")).join(e, ["gid", "src"]).groupBy("gid", "s", F.col("dst").alias("t")).agg(F.min("src").alias("parent"))
         edge = nxt.join(found.select("gid", "s", "t"), ["gid", "s", "t"], "left_anti").select("gid", "s", "t", F.lit(d).alias("dist"), "parent")
         edge = durable(edge)
+        if edge.isEmpty():
+            return found
         found = found.unionAll(edge)
-    return found

@@ -30,3 +30,33 @@ def test_events_meet_across_batches(spark, sf, events):
     for i, *_ in sorted(events, key=lambda e: e[1]):
         layer[i] = max((layer[a] + 1 for a, b in before if b == i), default=0)
     assert {r["event_id"]: r["layer"] for r in catalog.QUERIES["execution_layers"](spark, sf).collect()} == layer
+
+
+def test_paths_of_any_length(spark, sf):
+    from arcloom.plans.structure_plans import _small
+
+    out = defaultdict(lambda: defaultdict(set))
+    for r in _small(spark, sf).collect():
+        out[r["gid"]][r["src"]].add(r["dst"])
+    dist, cost = {}, {}
+    for g, nodes in out.items():
+        for s in {*nodes, *(x for v in nodes.values() for x in v)}:
+            dist[g, s, s], cost[g, s, s], level = 0, 0.0, [s]
+            while level:
+                before = defaultdict(list)
+                for u in level:
+                    for v in nodes.get(u, ()):
+                        if (g, s, v) not in dist:
+                            before[v].append(u)
+                for v, us in before.items():
+                    dist[g, s, v] = dist[g, s, us[0]] + 1
+                    cost[g, s, v] = cost[g, s, min(us)] + (min(us) * 3 + v) % 5
+                level = list(before)
+    assert max(dist.values()) > 4
+    got = catalog.QUERIES["all_pairs_shortest_paths"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted((*k, d) for k, d in dist.items())
+    far = {k: d for k, d in dist.items() if d}
+    bias = catalog.QUERIES["spatial_encoding"](spark, sf).collect()
+    assert sorted(map(tuple, bias)) == sorted((*k, 0.5 ** min(d, 3)) for k, d in far.items())
+    edge = catalog.QUERIES["edge_encoding"](spark, sf).collect()
+    assert {tuple(r)[:3]: r["c"] for r in edge} == {k: pytest.approx(cost[k] / d, abs=1e-6) for k, d in far.items()} and len(edge) == len(far)
