@@ -78,6 +78,16 @@ def relabel(ids: DataFrame, column: str = "id", salt: int = 64) -> DataFrame:
     return cut.withColumn("r", rank).join(F.broadcast(before), "part").select(F.col(column).alias("id"), (F.col("r") + F.col("before")).cast("long").alias("new_id"))
 
 
+def ranked_by_count(counts: DataFrame, salt: int = 64) -> DataFrame:
+    """symbol, cnt, rank: from 0, the most frequent first, then by symbol. Counted as in relabel(), in ranges of the
+    symbols of each count."""
+    width = counts.agg(F.min("symbol").alias("lo"), F.max("symbol").alias("hi"))
+    cut = counts.crossJoin(F.broadcast(width)).withColumn("part", F.floor((F.col("symbol") - F.col("lo")) * salt / (F.col("hi") - F.col("lo") + 1)))
+    before = cut.groupBy("cnt", "part").count().select("cnt", "part", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("cnt"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("cnt", "part").orderBy("symbol")) - 1
+    return cut.withColumn("r", rank).join(before, ["cnt", "part"]).select("symbol", "cnt", (F.col("r") + F.col("before")).cast("long").alias("rank"))
+
+
 def remap(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges whose both ends have a new label, under it."""
     s, d = labels.select(F.col("id").alias("src"), F.col("new_id").alias("s")), labels.select(F.col("id").alias("dst"), F.col("new_id").alias("d"))

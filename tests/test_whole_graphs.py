@@ -60,3 +60,18 @@ def test_paths_of_any_length(spark, sf):
     assert sorted(map(tuple, bias)) == sorted((*k, 0.5 ** min(d, 3)) for k, d in far.items())
     edge = catalog.QUERIES["edge_encoding"](spark, sf).collect()
     assert {tuple(r)[:3]: r["c"] for r in edge} == {k: pytest.approx(cost[k] / d, abs=1e-6) for k, d in far.items()} and len(edge) == len(far)
+
+
+def test_vocabulary_has_every_symbol(spark, tmp_path):
+    rows = spark.range(1400).selectExpr("id AS l_orderkey", "cast(1 AS int) AS k").crossJoin(spark.range(2).selectExpr("cast(id AS int) AS l_linenumber"))
+    rows = rows.selectExpr("l_orderkey", "l_linenumber", "(l_orderkey + l_linenumber * 13) % 900 AS l_partkey", "l_orderkey AS l_suppkey", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.0D AS l_discount")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    from arcloom.sources import views
+
+    count = defaultdict(int)
+    for r in views.session_rows(spark, str(tmp_path)).collect():
+        count[r["dst"]] += 1
+    want = [(s, n, i + 3) for i, (s, n) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0])))]
+    assert len(want) > 500
+    got = catalog.QUERIES["walk_corpus_vocabulary"](spark, str(tmp_path)).select("symbol", "cnt", "idx").collect()
+    assert sorted(map(tuple, got), key=lambda x: x[2]) == want
