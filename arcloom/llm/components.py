@@ -12,17 +12,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node that links reach) of each node in `links` (a, b).
 
     Each round takes the least root among the neighbours', then the root's own root, so that paths shorten by halves.
-    Roots are checkpointed; only the number of changes comes to the driver.
+    Roots are checkpointed, in as many partitions as their rows need; only counts come to the driver.
     """
-    both = runtime.checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node")
-    roots = runtime.checkpoint(roots)
+    links = links.select("a", "b")
+    both = runtime.fitted(runtime.checkpoint(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    parts = both.rdd.getNumPartitions()
+    roots = runtime.checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")).coalesce(parts))
     for _ in range(most_rounds):
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        least = roots.join(near, roots.node == near.a).select("node", F.least("root", "near").alias("up"), F.col("root").alias("was"))
+        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").coalesce(parts).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        least = roots.withColumnRenamed("root", "was").join(near, "node").select("node", F.least("was", "near").alias("up"), "was").coalesce(parts)
         jump = least.join(roots.select(F.col("node").alias("up"), F.col("root").alias("over")), "up", "left")
-        new = runtime.checkpoint(jump.select("node", F.least("up", F.coalesce("over", "up")).alias("root"), "was"))
-        changed = new.where(F.col("root") != F.col("was")).limit(1).count()
+        new = runtime.checkpoint(jump.select("node", F.least("up", F.coalesce("over", "up")).alias("root"), "was").coalesce(parts))
+        changed = not new.where(F.col("root") != F.col("was")).isEmpty()
         roots = new.select("node", "root")
         if not changed:
             return roots

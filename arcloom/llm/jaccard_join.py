@@ -13,8 +13,12 @@ partner there.
 Signatures are packed into binary rows, a row for each Arrow batch and bucket, so that a shuffle moves about eight
 bytes for each. Equal sets are one node: a group of copies sends one signature a batch. Pairs that share a signature are
 verified on the whole sets, unless they share fewer segments than similar sets must. Of a costly signature the arms of
-a star are verified first; what then is in one class needs no further pair, and all other pairs with a set that could
-not afford to pass the signature over are verified too. No pair is lost.
+a star are verified first; what then is in one class needs no further pair. Sets of different classes that still meet
+in a signature which one of them could not afford to pass over go through a second, finest partition, in which each
+shingle is a segment (`_second`). No pair is lost, and no step makes all pairs of a run.
+
+A node is a 63-bit hash of its set, and sets of one hash count as equal without a further look; shingles are compared by
+48 bits of their hashes. "Exact" holds up to such collisions.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ from . import components, runtime, textvec
 WIDTH, NUM, DEN = 5, 3, 4
 #: A signature of more sets than this is costly; segments of each band whose one-deletion neighbourhoods are indexed.
 COSTLY, SPARE = 8, 2
-#: Signatures of a bucket, about; bits of the filter of documents whose sets are looked up again.
-PER_BUCKET, FILTER_BITS = 1_500_000, 1 << 26
+#: Signatures of a bucket, about; bits for each document in the filter of those whose sets are looked up again, and the
+#: most bits that are broadcast (beyond, documents are chosen by a join).
+PER_BUCKET, FILTER_RATE, FILTER_BITS = 500_000, 16, 1 << 30
 #: Bytes of text whose signatures one packed row may hold; 64-bit words of a set's parity sketch.
 FLUSH_BYTES, SKETCH = 4 << 20, 8
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
@@ -131,8 +136,8 @@ def parities(x: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (size of the set), node, filled (segments), spare (what allowances add up to beyond the errors),
-    and the parity sketch."""
+    """doc_id, text_hash, n (size of the set), node, filled (segments), spare (what allowances add up to beyond the
+    errors), and the parity sketch."""
     table = bands.table()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +152,30 @@ def described(docs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
                 _, _, _, allowance, filled = signatures(x, of, band, table[band])
                 errors = (n + n * bands.den // bands.num) * (bands.den - bands.num) // (bands.den + bands.num)
                 sketch = parities(x, of, hi - lo)
-                columns = [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(identity(x, begin, n)), pa.array(filled), pa.array(allowance - errors - 1), *(pa.array(sketch[:, k]) for k in range(SKETCH))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "filled", "spare", *_SKETCH])
+                columns = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(identity(x, begin, n)), pa.array(filled), pa.array(allowance - errors - 1), *(pa.array(sketch[:, k]) for k in range(SKETCH))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "node", "filled", "spare", *_SKETCH])
+        runtime.trim()
+
+    rows = runtime.pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.mapInArrow(describe, "doc_id long, text_hash long, n long, node long, filled long, spare long" + "".join(f", {c} long" for c in _SKETCH))
+
 
-    return runtime.pick(docs, "doc_id", "text").mapInArrow(describe, "doc_id long, n long, node long, filled long, spare long" + "".join(f", {c} long" for c in _SKETCH))
+_PACKED = "bucket long, sig binary, own binary, cost binary, node binary, n binary"
+
+
+def _packed(sig: np.ndarray, owner: np.ndarray, cost: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: its signatures, the place of each one's set among the row's sets, costs, nodes, sizes."""
+    bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    sig, owner, cost, bucket = sig[order], owner[order], cost[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    rows = []
+    for at, end in zip(first, np.append(first[1:], len(bucket)), strict=True):
+        used, local = np.unique(owner[at:end], return_inverse=True)
+        low = sig[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        rows.append((int(bucket[at]), low.tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), cost[at:end].astype(np.int8).tobytes(), node[used].tobytes(), n[used].astype("<i4").tobytes()))
+    k, *rest = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(r, pa.binary()) for r in rest)], ["bucket", "sig", "own", "cost", "node", "n"])
 
 
 def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int = WIDTH) -> DataFrame:
@@ -201,107 +226,148 @@ def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int =
             held += len(n)
         if not sigs:
             return None
-        sig, owner, cost = np.concatenate(sigs), np.concatenate(owners), np.concatenate(costs)
-        node, n = np.concatenate(nodes), np.concatenate(sizes)
-        bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        sig, owner, cost, bucket = sig[order], owner[order], cost[order], bucket[order]
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = []
-        for at, end in zip(first, np.append(first[1:], len(bucket)), strict=True):
-            used, local = np.unique(owner[at:end], return_inverse=True)
-            low = sig[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            rows.append((int(bucket[at]), low.tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), cost[at:end].tobytes(), node[used].tobytes(), n[used].astype("<i4").tobytes()))
-        k, *rest = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(r, pa.binary()) for r in rest)], ["bucket", "sig", "own", "cost", "node", "n"])
-
-    return runtime.pick(docs, "doc_id", "text").mapInArrow(emit, "bucket long, sig binary, own binary, cost binary, node binary, n binary")
+        return _packed(*(np.concatenate(v) for v in (sigs, owners, costs, nodes, sizes)), buckets)
+
+    return runtime.pick(docs, "doc_id", "text").mapInArrow(emit, _PACKED)
+
+
+def _runs(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a bucket, the signatures that several sets share, each set once for each: node, n, cost, signature, the size of
+    its run, and its place there."""
+    sig, node, n, cost = [], [], [], []
+    for r in range(table.num_rows):
+        raw = np.zeros((len(s := table["sig"][r].as_py()) // 5, 8), np.uint8)
+        raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
+        nodes = np.frombuffer(table["node"][r].as_py(), np.int64)
+        own = np.frombuffer(table["own"][r].as_py(), "<u4" if len(nodes) > 65535 else "<u2")
+        sig.append(raw.view("<u8").ravel())
+        node.append(nodes[own])
+        n.append(np.frombuffer(table["n"][r].as_py(), "<i4")[own])
+        cost.append(np.frombuffer(table["cost"][r].as_py(), np.int8))
+    sig, node, n, cost = (np.concatenate(v) for v in (sig, node, n, cost))
+    order = np.argsort(sig, kind="stable")
+    s = sig[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(s)))
+    shared = np.repeat(size > 1, size)
+    order, run = order[shared], (np.cumsum(new) - 1)[shared]
+    node, n, cost, sig = node[order], n[order].astype(np.int64), cost[order], sig[order]
+    # copies that came from other batches are one
+    order = np.lexsort((-cost, node, run))
+    node, n, cost, run, sig = node[order], n[order], cost[order], run[order], sig[order]
+    one = np.ones(len(node), bool)
+    one[1:] = (node[1:] != node[:-1]) | (run[1:] != run[:-1])
+    node, n, cost, run, sig = node[one], n[one], cost[one], run[one], sig[one]
+    begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(run)))
+    return node, n, cost, sig, np.repeat(size, size), np.arange(len(run)) - np.repeat(begin, size)
+
+
+def _within(node: np.ndarray, n: np.ndarray, width: np.ndarray, place: np.ndarray, bands: Bands, ask: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Pairs inside runs that are not costly, the smaller set first, once each: places i and j, and in how many runs they
+    meet. Pairs neither of which asks are left out, and those whose sizes no similar sets have."""
+    found = []
+    for gap in range(1, COSTLY):
+        i = np.flatnonzero((width <= COSTLY) & (place + gap < width))
+        found.append(np.stack([i, i + gap], 1) if ask is None else np.stack([i, i + gap], 1)[ask[i] | ask[i + gap]])
+    i, j = np.concatenate(found).T
+    turn = (n[i] > n[j]) | (n[i] == n[j]) & (node[i] > node[j])
+    i, j = np.where(turn, j, i), np.where(turn, i, j)
+    fits = n[i] * bands.den >= n[j] * bands.num
+    i, j = i[fits], j[fits]
+    order = np.lexsort((node[j], node[i]))
+    i, j = i[order], j[order]
+    head = np.flatnonzero(np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])) if len(i) else np.zeros(0, np.int64)
+    return i[head], j[head], np.diff(np.append(head, len(i)))
 
 
 def _collisions(bands: Bands):
     """For one bucket: sets that share a signature. kind 0: a pair (the smaller set first) and how many signatures it
-    shares here. kind 1: for a costly signature, its run, the run's star and size, and each member."""
+    shares here. kind 1: each member of a costly signature's run."""
 
     def find(table: pa.Table) -> pa.Table:
-        sig, node, n, cost = [], [], [], []
-        for r in range(table.num_rows):
-            raw = np.zeros((len(s := table["sig"][r].as_py()) // 5, 8), np.uint8)
-            raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-            nodes = np.frombuffer(table["node"][r].as_py(), np.int64)
-            own = np.frombuffer(table["own"][r].as_py(), "<u4" if len(nodes) > 65535 else "<u2")
-            sig.append(raw.view("<u8").ravel())
-            node.append(nodes[own])
-            n.append(np.frombuffer(table["n"][r].as_py(), "<i4")[own])
-            cost.append(np.frombuffer(table["cost"][r].as_py(), np.int8))
-        sig, node, n, cost = (np.concatenate(v) for v in (sig, node, n, cost))
-        order = np.argsort(sig, kind="stable")
-        s = sig[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(s)))
-        shared = np.repeat(size > 1, size)
-        order, run = order[shared], (np.cumsum(new) - 1)[shared]
-        node, n, cost, sig = node[order], n[order].astype(np.int64), cost[order], sig[order]
-        # copies that came from other batches are one
-        order = np.lexsort((-cost, node, run))
-        node, n, cost, run, sig = node[order], n[order], cost[order], run[order], sig[order]
-        one = np.ones(len(node), bool)
-        one[1:] = (node[1:] != node[:-1]) | (run[1:] != run[:-1])
-        node, n, cost, run, sig = node[one], n[one], cost[one], run[one], sig[one]
-        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(run)))
-        place = np.arange(len(run)) - np.repeat(begin, size)
-        width = np.repeat(size, size)
-        found = []
-        for gap in range(1, COSTLY):  # all pairs of a run that is not costly, but of two visitors
-            i = np.flatnonzero((width <= COSTLY) & (place + gap < width))
-            found.append(np.stack([i, i + gap], 1)[(cost[i] > 0) | (cost[i + gap] > 0)])
-        i, j = np.concatenate(found).T if found else (np.zeros(0, np.int64),) * 2
-        turn = (n[i] > n[j]) | (n[i] == n[j]) & (node[i] > node[j])
-        i, j = np.where(turn, j, i), np.where(turn, i, j)
-        fits = n[i] * bands.den >= n[j] * bands.num
-        i, j = i[fits], j[fits]
-        order = np.lexsort((node[j], node[i]))
-        i, j = i[order], j[order]
-        head = np.flatnonzero(np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])) if len(i) else np.zeros(0, np.int64)
-        shared = np.diff(np.append(head, len(i)))
-        i, j = i[head], j[head]
+        node, n, cost, sig, width, place = _runs(table)
+        i, j, shared = _within(node, n, width, place, bands, cost > 0)
         hot = width > COSTLY
-        star = np.repeat(node[begin], size)
         both = lambda u, v: pa.array(np.concatenate([u, v]).astype(np.int64))
         k, h = len(i), int(hot.sum())
-        return pa.table({"kind": pa.array(np.repeat([0, 1], [k, h]).astype(np.int32)), "a": both(node[i], star[hot]), "b": both(node[j], node[hot]), "na": both(n[i], n[hot]), "nb": both(n[j], width[hot]), "c": both(shared, cost[hot]), "run": both(np.zeros(k), sig[hot].astype(np.int64))})
+        none = np.zeros(h, np.int64)
+        return pa.table({"kind": pa.array(np.repeat([0, 1], [k, h]).astype(np.int32)), "a": both(node[i], none), "b": both(node[j], node[hot]), "na": both(n[i], n[hot]), "nb": both(n[j], width[hot]), "c": both(shared, cost[hot]), "run": both(np.zeros(k, np.int64), sig[hot].astype(np.int64))})
 
     return find
 
 
-def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
-    """a, b, similar for each pair of nodes, from the whole sets of one document of each (node, doc_id in `first`)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = first.join(wanted, "node").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
-    position = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in wanted.select(position.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m")).toLocalIterator():
-        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bits, whatever the input
+def _shared_shingles(bands: Bands):
+    """For one bucket of single shingles. kind 0: a pair that shares shingles which are not costly, and how many. kind 1:
+    of a set, how many costly shingles it has here, and their hash (added bit by bit, so that buckets' add up)."""
+
+    def find(table: pa.Table) -> pa.Table:
+        node, n, _, sig, width, place = _runs(table)
+        i, j, shared = _within(node, n, width, place, bands)
+        hot = np.flatnonzero(width > COSTLY)
+        hot = hot[np.argsort(node[hot], kind="stable")]
+        head = np.flatnonzero(np.concatenate([[True], node[hot][1:] != node[hot][:-1]])) if len(hot) else np.zeros(0, np.int64)
+        digest = np.bitwise_xor.reduceat(textvec.mix(sig[hot] + np.uint64(0xBB67AE8584CAA73B)), head).astype(np.int64) if len(hot) else head
+        both = lambda u, v: pa.array(np.concatenate([u, v]).astype(np.int64))
+        own = hot[head]
+        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(i), len(own)]).astype(np.int32)), "a": both(node[i], node[own]), "b": both(node[j], digest), "na": both(n[i], n[own]), "nb": both(n[j], n[own]), "c": both(shared, np.diff(np.append(head, len(hot))))})
+
+    return find
+
+
+def _rebuilt(docs: DataFrame, first: DataFrame, nodes: DataFrame, make, schema: str, width: int) -> DataFrame:
+    """make(shingles, their set's number, node, n) over the sets of one document of each of `nodes` (`first`: node, doc_id).
+
+    Documents are found by a filter of FILTER_RATE bits each, so a few others come along, or, where they are so many
+    that the filter would be over FILTER_BITS, by a join.
+    """
+    ids = runtime.checkpoint(first.join(nodes.select("node").distinct(), "node").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")))
+    count = ids.count()
+    bits = 1 << max(20, (FILTER_RATE * count).bit_length())
+    rows = runtime.pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    if bits > FILTER_BITS:
+        rows, shared = rows.join(ids, "doc_id", "left_semi").withColumn("p", F.lit(0)), None
+    else:
+        filled = np.zeros(bits // 8, np.uint8)
+        position = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        for r in ids.select(position.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("m")).toLocalIterator():
+            filled[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
+        rows, shared = rows.select("doc_id", "text", position.alias("p")), docs.sparkSession.sparkContext.broadcast(filled)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runtime.alone("near copies")
         for b in batches:
-            p = b.column(2).to_numpy(zero_copy_only=False)
-            own = np.flatnonzero(shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            own = np.arange(b.num_rows)
+            if shared is not None:
+                p = b.column(2).to_numpy(zero_copy_only=False)
+                own = np.flatnonzero(shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1)
             if not len(own):
                 continue
             data, off = runtime.utf8(b.column(1).take(pa.array(own)))
             for lo, hi in runtime.steps(off):
                 x, of = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
                 n = np.bincount(of, minlength=hi - lo)
-                begin = np.concatenate([[0], np.cumsum(n)])
-                raw = x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                items = [raw[6 * begin[i] : 6 * begin[i + 1]] for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pa.array(identity(x, begin, n)), pa.array(items, pa.binary())], ["node", "items"])
+                out = make(x, of, identity(x, np.concatenate([[0], np.cumsum(n)]), n), n)
+                if out is not None:
+                    yield out
+        runtime.trim()
+
+    return rows.mapInArrow(rebuild, schema)
+
 
-    rows = runtime.pick(docs, "doc_id", "text").select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(FILTER_BITS)).alias("p"))
-    found = rows.mapInArrow(rebuild, "node long, items binary").where(F.col("node") != 0).groupBy("node").agg(F.first("items").alias("items"))
+def _whole(x: np.ndarray, of: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    begin = 6 * np.concatenate([[0], np.cumsum(n)])
+    raw = x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array([raw[begin[i] : begin[i + 1]] for i in range(len(n))], pa.binary())], ["node", "items"])
+
+
+def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
+    """a, b, similar for each pair of nodes, from the whole sets of one document of each (node, doc_id in `first`)."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    found = _rebuilt(docs, first, nodes, _whole, "node long, items binary", width)
+    # written, so that the joins below are no more than joins, of which Spark splits large keys: a star has many arms
+    found = runtime.fitted(runtime.checkpoint(found.where(F.col("node") != 0).groupBy("node").agg(F.first("items").alias("items"))))
     left = pairs.select("a", "b").join(found.withColumnRenamed("node", "a").withColumnRenamed("items", "x"), "a")
     both = left.join(found.withColumnRenamed("node", "b").withColumnRenamed("items", "y"), "b").select("a", "b", "x", "y")
 
@@ -323,16 +389,64 @@ def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, bands: Bands,
     return both.mapInArrow(compare, "a long, b long, similar boolean")
 
 
+def _second(docs: DataFrame, first: DataFrame, asks: DataFrame, member: DataFrame, info: DataFrame, bands: Bands, width: int) -> DataFrame:
+    """a, b: pairs left to verify, of the sets of `member` (run, node, n, root), of which `asks` (run, node) must look.
+
+    Each shingle is now a segment. It is costly where more than COSTLY of these sets have it. Similar sets of different
+    classes either share a shingle that is not costly, and are paired by it, or all that they share is costly. Of the
+    latter kind each set has at least NUM/DEN of itself in costly shingles. Sets whose costly parts are equal form a
+    group, and its smallest set stands for it: if A of one group and B of another are similar, then so are A and B's
+    stand-in, both stand-ins, and A's stand-in and B, as they share as much and are no larger; in one group both are
+    similar to its stand-in. So a set meets stand-ins alone, a row for each group in a run and not one for each set.
+    """
+    sets_ = runtime.checkpoint(member.select("node", "n", "root").distinct())
+    total = sets_.agg(F.sum("n")).first()[0] or 0
+    buckets = int(max(8, total // PER_BUCKET))
+
+    def emit(x: np.ndarray, of: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+        return _packed(textvec.mix(x + np.uint64(0x3C6EF372FE94F82B)), of, np.zeros(len(x)), node, n, buckets) if len(x) else None
+
+    found = _rebuilt(docs, first, sets_, emit, _PACKED, width).groupBy("bucket").applyInArrow(_shared_shingles(bands), "kind int, a long, b long, na long, nb long, c long")
+    found = runtime.fitted(runtime.checkpoint(found))
+    part = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("p"), F.bit_xor("b").alias("digest"))
+    sketch = F.array(*_SKETCH).alias("sketch")
+    own = runtime.fitted(runtime.checkpoint(sets_.join(part, "node", "left").join(info.select("node", sketch), "node").select("node", "n", "root", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("digest", F.lit(0)).alias("digest"), "sketch")))
+    end = lambda k: own.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "root", "p", "sketch")])
+    apart = sum((F.bit_count(F.get("sketch_a", k).bitwiseXOR(F.get("sketch_b", k))) for k in range(SKETCH)), F.lit(0))
+    both, least = F.col("n_a") + F.col("n_b"), F.least("p_a", "p_b")
+    up = bands.num + bands.den
+    # sketches that differ in more bits than similar sets differ in shingles rule a pair out
+    fits = (F.col("root_a") != F.col("root_b")) & (apart * up <= both * (bands.den - bands.num))
+    rare = found.where("kind = 0").groupBy(F.col("a").alias("node_a"), F.col("b").alias("node_b")).agg(F.sum("c").alias("c")).join(end("a"), "node_a").join(end("b"), "node_b")
+    pairs = rare.where(fits & ((F.col("c") + least) * up >= both * bands.num)).select("node_a", "node_b")
+    near = own.where(F.col("p") * bands.den >= F.col("n") * bands.num)
+    one = near.groupBy("digest", "p").agg(F.min(F.struct("n", "node", "root", "sketch")).alias("o"))
+    near = runtime.fitted(runtime.checkpoint(near.join(one, ["digest", "p"])))
+    common = least * up >= both * bands.num
+    side = lambda df, k, by=(), of="": df.select(*by, *[F.col(f"{of}{c}").alias(f"{c}_{k}") for c in ("node", "n", "root", "sketch")], F.col("p").alias(f"p_{k}"), F.col("digest").alias(f"digest_{k}"))
+    inside = near.where("node != o.node").select("*", F.col("o.node").alias("x"))
+    inside = side(inside, "a").join(side(near.select("digest", "p", "o").distinct(), "b", of="o."), (F.col("digest_a") == F.col("digest_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("node_a") != F.col("node_b")))
+    pairs = pairs.union(inside.where(fits & common).select("node_a", "node_b"))
+    here = member.select("run", "node").join(near, "node")
+    mixed = here.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("o.root").alias("z"), F.max("o.root").alias("w")).where("least(x, z) != greatest(y, w)").select("run")
+    here = runtime.fitted(runtime.checkpoint(here.join(mixed, "run", "left_semi")))
+    looks = here.join(asks.select("run", "node"), ["run", "node"], "left_semi")
+    group = lambda df, k: side(df.select("run", "digest", "p", "o").distinct(), k, ("run",), "o.")
+    meet = lambda a, b: a.join(b, "run").where(fits & common & (F.col("digest_a") != F.col("digest_b"))).select("node_a", "node_b")
+    pairs = pairs.union(meet(side(looks, "a", ("run",)), group(here, "b"))).union(meet(group(looks, "a"), group(here, "b").union(side(here, "b", ("run",))).distinct()))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, width: int) -> DataFrame:
     """The links (a, b) found with these bands: enough that components are those of all links."""
     total = sets_.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(8, total * 0.8 * bands.factor // PER_BUCKET))
     found = packed_signatures(docs, bands, buckets, width).groupBy("bucket").applyInArrow(_collisions(bands), "kind int, a long, b long, na long, nb long, c long, run long")
-    found = runtime.checkpoint(found)
+    found = runtime.fitted(runtime.checkpoint(found))
     info = sets_.groupBy("node").agg(F.min("n").alias("n"), F.min("filled").alias("filled"), F.min("spare").alias("spare"), *[F.min(c).alias(c) for c in _SKETCH])
     hot = found.where("kind = 1").select("run", F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("size"), F.col("c").alias("cost"))
     paid = hot.groupBy("node").agg(F.sum("cost").alias("paid"))
-    info = runtime.checkpoint(info.join(paid, "node", "left").select("node", "n", "filled", "spare", F.coalesce("paid", F.lit(0)).alias("paid"), *_SKETCH))
+    info = runtime.fitted(runtime.checkpoint(info.join(paid, "node", "left").select("node", "n", "filled", "spare", F.coalesce("paid", F.lit(0)).alias("paid"), *_SKETCH)))
     # each shingle in which two sets differ spoils one segment at most, so similar sets share all but `errors` segments,
     # those that were costly, and so are not counted here, aside
     plain = found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("shared"), F.max("nb").alias("nb"))
@@ -342,70 +456,85 @@ def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, wi
     # Arms of stars are a short cut: where they turn out to be links, whole groups are one class. The star of a run is
     # the set that shares most of itself with others: of edited copies that is what they were made from.
     common = info.select("node", (F.col("paid") / F.greatest("filled", F.lit(1))).alias("common"))
-    stars = hot.select("run", "node").join(common, "node").groupBy("run").agg(F.max_by("node", "common").alias("star"))
+    stars = hot.select("run", "node").join(common, "node").groupBy("run").agg(F.max_by("node", F.struct("common", "node")).alias("star"))
     arms = hot.select("run", "node").join(stars, "run").where("star != node").groupBy("star", "node").agg(F.count("*").alias("shared"))
     arms = arms.join(info.select("node", "filled"), "node").where(F.col("shared") * 4 >= F.col("filled")).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b"))
-    pairs = runtime.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(arms).distinct())
-    seen = runtime.checkpoint(verified(docs, first, pairs, bands, width))
+    pairs = runtime.fitted(runtime.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(arms).distinct()))
+    seen = runtime.fitted(runtime.checkpoint(verified(docs, first, pairs, bands, width)))
     links = seen.where("similar").select("a", "b")
     # a set that can afford it gives its costliest signatures no allowance; in the others it must look
     asks = hot.where("cost > 0").join(info.where("paid > spare").select("node", "spare"), "node")
     asks = asks.withColumn("skipped", F.sum("cost").over(Window.partitionBy("node").orderBy(F.desc("size"), "run").rowsBetween(Window.unboundedPreceding, 0)))
-    asks = runtime.checkpoint(asks.where(F.col("skipped") > F.col("spare")).select("run", "node", "n"))
-    if asks.limit(1).count() == 0:
+    asks = runtime.checkpoint(asks.where(F.col("skipped") > F.col("spare")).select("run", "node"))
+    if asks.isEmpty():
         return links
+    asks = runtime.fitted(asks)
     roots = components.components(links)
     member = hot.join(asks.select("run").distinct(), "run", "left_semi").select("run", "node", "n").join(roots, "node", "left").select("run", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = member.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("run")
     member = runtime.checkpoint(member.join(mixed, "run", "left_semi"))
-    sketch = info.select("node", *_SKETCH)
-    asks = asks.join(mixed, "run", "left_semi").join(roots, "node", "left").join(sketch, "node").select("run", "node", "n", F.coalesce("root", "node").alias("root"), *_SKETCH)
-    other = member.join(sketch, "node").select(F.col("run").alias("r"), F.col("node").alias("o"), F.col("n").alias("no"), F.col("root").alias("ro"), *[F.col(c).alias(f"o{c}") for c in _SKETCH])
-    # sketches that differ in more bits than similar sets differ in shingles rule a pair out
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in _SKETCH), F.lit(0))
-    fits = (F.col("run") == F.col("r")) & (F.col("root") != F.col("ro")) & (F.col("n") <= F.col("no")) & (F.col("n") * bands.den >= F.col("no") * bands.num) & (apart * (bands.den + bands.num) <= (F.col("n") + F.col("no")) * (bands.den - bands.num))
-    more = asks.join(other, fits).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    more = runtime.checkpoint(more)
-    if more.limit(1).count() == 0:
+    if member.isEmpty():
         return links
-    return links.union(verified(docs, first, more, bands, width).where("similar").select("a", "b"))
-
+    member = runtime.fitted(member)
+    more = runtime.checkpoint(_second(docs, first, asks.join(mixed, "run", "left_semi"), member, info, bands, width).join(seen, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return links
+    return links.union(verified(docs, first, runtime.fitted(more), bands, width).where("similar").select("a", "b"))
 
-def join(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every whole text.
 
-    component_id is the smallest doc_id that links reach, the document's own included. A null or empty text, or one
-    without words, has no shingle and no link. Texts of equal sets are linked. A null id counts as larger than any.
-    Repeated rows each get a row. Other columns are not looked at.
-    """
+def _classes(docs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, node, text_hash of each row; and node, root: the class of each set."""
     bands = Bands(num, den)
-    sets_ = runtime.checkpoint(described(docs, bands, width))
+    sets_ = runtime.fitted(runtime.checkpoint(described(docs, bands, width)))
     filled = sets_.where("node != 0")
-    first = runtime.checkpoint(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    first = runtime.fitted(runtime.checkpoint(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))))
     links = _round(docs, filled, first, bands, width)
     short = sorted(r["band"] for r in filled.where("spare < 0").select(F.floor(F.log2("n")).cast("int").alias("band")).distinct().collect())
     factor = 1
     while short:  # sets that chance left with too few filled segments
         factor *= 4
         again = Bands(num, den, factor, tuple(short))
-        now = runtime.checkpoint(described(docs, again, width).where("node != 0"))
+        now = runtime.fitted(runtime.checkpoint(described(docs, again, width).where("node != 0")))
         links = links.union(_round(docs, now, first, again, width))
         short = sorted(r["band"] for r in now.where("spare < 0").select(F.floor(F.log2("n")).cast("int").alias("band")).distinct().collect() if r["band"] in short)
-    roots = components.components(runtime.checkpoint(links))
-    named = runtime.checkpoint(first.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    roots = components.components(links)
+    return sets_, first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def join(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id of every whole text.
+
+    component_id is the smallest doc_id that links reach, the document's own included. A null or empty text, or one
+    without words, has no shingle and no link. Texts of equal sets are linked. A null id counts as larger than any.
+    Repeated rows each get a row. Other columns are not looked at. An empty table gives no rows.
+    """
+    sets_, roots = _classes(docs, num, den, width)
+    ids = sets_.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node")
+    named = runtime.fitted(runtime.checkpoint(ids.select("node", "root", "doc_id")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
     return sets_.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
-    """Of each class the document of the smallest id, with all its columns; documents without an id all stay.
+    """Of each class the row of the smallest id, with all its columns, whatever they are called.
 
-    Of rows that repeat an id one stays.
+    A null id counts as larger than any. Of rows of one id in a class that of the least hash of its text stays, and of
+    rows that repeat one id and text the one of the least hash of all columns; rows of one id in different classes all
+    stay, as their texts differ. Rows without a word are in no class and stay. An empty table gives no rows.
     """
-    found = runtime.checkpoint(join(docs, num, den, width))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
+    sets_, roots = _classes(docs, num, den, width)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = sets_.where("node != 0").join(roots, "node").select("root", key.alias("key"))
+    best = rows.groupBy("root").agg(F.min("key").alias("key"))
+    kept = runtime.fitted(runtime.checkpoint(best.select("key.doc_id", "key.text_hash", "root")))
+    repeated = not rows.groupBy("root", "key").count().where("count > 1").isEmpty()
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    id_, text = F.col(f"_c{names.index('doc_id')}"), F.col(f"_c{names.index('text')}")
+    flat = flat.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("_worded", F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    out = flat.where("_worded").join(kept, id_.eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")), "left_semi")
+    if repeated:
+        order = Window.partitionBy(id_, "_h").orderBy(F.xxhash64(*[f"_c{i}" for i in range(len(names))]))
+        out = out.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return out.union(flat.where("NOT _worded")).drop("_h", "_worded").toDF(*names)

@@ -44,12 +44,21 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{have.index(n)}").alias(n) for n in names])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table under the column names _c0, _c1, ..., which cannot clash, and its own names."""
+    small_batches(df.sparkSession)
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), df.columns
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`. Only where that is unset, as in local tests, is a temporary folder of this
-    machine taken."""
+    """The session's `spark.checkpoint.dir`. Where that is unset, a temporary folder, but only if all of Spark runs on
+    this machine, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="arcloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -59,6 +68,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a checkpoint's partition, about, and the fewest partitions.
+FIT_ROWS, FIT_LEAST = 100_000, 12
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """A checkpointed table in as many partitions as its rows need, if it has more. A file for each partition of a
+    shuffle, however little is in it, is what most of the disk goes to otherwise."""
+    own = df.rdd.getNumPartitions()
+    if own <= FIT_LEAST:
+        return df
+    parts = max(FIT_LEAST, -(-df.count() // FIT_ROWS))
+    return df.coalesce(parts) if parts < own else df
+
+
 _held: dict[str, object] = {}
 _kept: dict[str, Callable[[], None]] = {}
 
