@@ -21,6 +21,9 @@ from . import runtime
 RATE, PASS_CHARS = 0.05, 20_000_000
 
 
+_FOUND = "doc_id long, item_id long, distance long, start_at long, end_at long"
+
+
 def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
@@ -110,16 +113,17 @@ class Matcher:
         return out
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in passes of PASS_CHARS characters."""
-    passes, size = [[]], 0
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in passes of PASS_CHARS characters, of which the driver holds one at a time."""
+    part, size = [], 0
     for r in runtime.pick(benchmark, "item_id", "text").where("text is not null").toLocalIterator():
+        part.append((r["item_id"], normal(r["text"])))
+        size += len(part[-1][1])
         if size >= PASS_CHARS:
-            passes.append([])
-            size = 0
-        passes[-1].append((r["item_id"], normal(r["text"])))
-        size += len(passes[-1][-1][1])
-    return passes
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -142,15 +146,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "item_id", "distance", "start_at", "end_at"])
 
-        one = rows.mapInArrow(search, "doc_id long, item_id long, distance long, start_at long, end_at long")
+        one = rows.mapInArrow(search, _FOUND)
         out = one if out is None else out.union(one)
-    return out
+    return rows.sparkSession.createDataFrame([], _FOUND) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents in which no test item is found, with all their columns."""
-    text = docs.columns.index("text")
-    runtime.small_batches(docs.sparkSession)
+    """The rows in which no test item is found, with all their columns, whatever they are called.
+
+    A null or empty text holds no item and stays; so do all rows where the benchmark is empty. Ids are not looked at.
+    An empty table gives no rows.
+    """
+    flat, names = runtime.numbered(docs)
+    text = names.index("text")
     for part in _passes(benchmark):
         shared = runtime.Shared(docs.sparkSession, (part, rate), Matcher)
 
@@ -160,5 +168,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                 m = shared.get()
                 yield b.filter(pa.array([not m.find(normal(t.as_py())) for t in b.column(text)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        flat = flat.mapInArrow(keep, flat.schema)
+    return flat.toDF(*names)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import runtime
 
 #: Words remembered by one Python worker before it starts anew, and the longest that is remembered.
-REMEMBER, REMEMBER_CHARS = 1_400_000, 48
+REMEMBER, REMEMBER_CHARS = 400_000, 48
 
 
 class Encoder(dict):
@@ -121,6 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             if rows:
                 doc, k, at, n, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        runtime.trim()
 
     return runtime.pick(docs, "doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

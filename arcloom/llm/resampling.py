@@ -89,6 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 raw += np.bincount(g, minlength=KINDS * BUCKETS)
                 target += np.bincount(g[on[lo:hi][of]], minlength=KINDS * BUCKETS)
         own = np.flatnonzero(raw)
+        runtime.trim()
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
 
     raw, target = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
@@ -118,6 +119,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 g, of = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 w[lo:hi] = np.bincount(of, shared.value[g], hi - lo)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w)], ["doc_id", "log_weight"])
+        runtime.trim()
 
     return runtime.pick(docs, "doc_id", "text").mapInArrow(weigh, "doc_id long, log_weight double")
 
@@ -161,24 +163,30 @@ def resample(docs: DataFrame, model: Model, k: int | None = None, seed: int = SE
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "log_weight", "gumbel_key", (F.col("gumbel_key") >= least).alias("selected"))
 
 
-def gumbel(seed: int = SEED):
+def gumbel(id_, seed: int = SEED):
     """Gumbel noise of each id."""
-    return -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
+    return -F.log(-F.log((F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
 
 
 def _drawn(docs: DataFrame, model: Model, k: int | None, seed: int) -> tuple[DataFrame, float]:
     """The keys, and the least of the selected."""
-    scored = runtime.checkpoint(weights(docs, model.ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed)))
+    scored = runtime.checkpoint(weights(docs, model.ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     if k is None:
         k = scored.where(F.col("log_weight") >= model.cut).count()
     return scored, kth_largest(scored, "gumbel_key", k)
 
 
 def selected(docs: DataFrame, model: Model, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The selected documents with all their columns. Weights are made again, which costs less than moving texts."""
+    """The selected rows with all their columns, whatever they are called. Weights are made again, which costs less than
+    moving texts.
+
+    A text that is null, empty or without a word has the weight 0. Null ids draw one noise, rows that repeat an id the
+    same one; each is judged by its own text. An empty table gives no rows.
+    """
     _, least = _drawn(docs, model, k, seed)
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    text, schema = docs.columns.index("text"), docs.schema
+    flat, names = runtime.numbered(docs)
+    text, noise = names.index("text"), gumbel(F.col(f"_c{names.index('doc_id')}"), seed)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runtime.alone("quality")
@@ -189,5 +197,6 @@ def selected(docs: DataFrame, model: Model, k: int | None = None, seed: int = SE
                 g, of = ngrams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 w[lo:hi] += np.bincount(of, shared.value[g], hi - lo)
             yield b.select(range(b.num_columns - 1)).filter(pa.array(w >= least))
+        runtime.trim()
 
-    return docs.select("*", gumbel(seed).alias("_noise_of_draw")).mapInArrow(keep, schema)
+    return flat.withColumn("_noise", noise).mapInArrow(keep, flat.schema).toDF(*names)

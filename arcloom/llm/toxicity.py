@@ -288,14 +288,15 @@ def train(texts: list[str | None], toxic: np.ndarray, rounds: int = ROUNDS) -> N
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> Network:
-    """Fits on labelled rows that are not held out; of repeated labels the highest counts, null ones are left out."""
+    """Fits on labelled rows that are not held out; of repeated labels the highest counts, null ones are left out. Of
+    rows that repeat an id the least text counts."""
     most = most or LEARN
     labels = runtime.pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [r for k, n in most.items() for r in labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     if not ids:
         return train([], np.zeros(0))
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # bounded by `most`
-    rows = runtime.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = runtime.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     texts, toxic = [r["text"] for r in rows], np.array([r["toxic"] for r in rows])
     del rows
@@ -312,17 +313,22 @@ def _scores(own: Network, column: pa.Array) -> np.ndarray:
 
 
 def clean(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    runtime.small_batches(docs.sparkSession)
+    """The rows that score below the threshold, with all their columns, whatever they are called.
+
+    A text that is null, empty or without a word scores 0 and stays. Ids are not looked at: null and repeated ones are
+    rows as any others. An empty table gives no rows.
+    """
+    flat, names = runtime.numbered(docs)
     shared = runtime.Shared(docs.sparkSession, (net.lean_word, net.lean_gram, net.p), Network)
-    text = docs.columns.index("text")
+    text = names.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runtime.alone("toxicity", runtime._held.clear)
         for b in batches:
             yield b.filter(pa.array(_scores(shared.get(), b.column(text)) < threshold))
+        runtime.trim()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return flat.mapInArrow(keep, flat.schema).toDF(*names)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
