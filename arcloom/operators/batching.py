@@ -17,9 +17,11 @@ def disjoint_union(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return n, e, start
 
 
-def unbatched(edges: DataFrame, start: DataFrame, gid: int) -> DataFrame:
-    """One graph's edges under its own ids."""
-    return edges.where(F.col("gid") == gid).join(F.broadcast(start.where(F.col("gid") == gid)), "gid").select("gid", (F.col("src") - F.col("start")).alias("src"), (F.col("dst") - F.col("start")).alias("dst"))
+def unbatched(edges: DataFrame, start: DataFrame, gid: int | None = None) -> DataFrame:
+    """Each graph's edges, or those of one graph, under its own ids."""
+    if gid is not None:
+        edges, start = edges.where(F.col("gid") == gid), start.where(F.col("gid") == gid)
+    return edges.join(start, "gid").select("gid", (F.col("src") - F.col("start")).alias("src"), (F.col("dst") - F.col("start")).alias("dst"))
 
 
 def inside_parts(edges: DataFrame, part: Column | None = None, parts: DataFrame | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from arcloom.functions.portable import dot, norm, sigmoid
 from arcloom.operators import propagate as P
 
 
-def bipartite(pairs: DataFrame, users: int) -> DataFrame:
-    """src, dst, w: users keep their ids, items are moved by `users`; both directions."""
-    e = pairs.select(F.col("user_id").alias("src"), (F.col("item_id") + users).alias("dst"), F.lit(1.0).alias("w"))
+def bipartite(pairs: DataFrame) -> DataFrame:
+    """src, dst, w: users keep their ids, items are moved beyond the largest user's; both directions."""
+    beyond = pairs.agg((F.max("user_id") + 1).alias("_beyond"))  # one row
+    e = pairs.crossJoin(F.broadcast(beyond)).select(F.col("user_id").alias("src"), (F.col("item_id") + F.col("_beyond")).alias("dst"), F.lit(1.0).alias("w"))
     return e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 

@@ -54,13 +54,82 @@ def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int) ->
     return out.select("start", "walk")
 
 
-def negatives(positives: DataFrame, n_items: int, k: int, tries: int, seed: int, first: int = 1) -> DataFrame:
-    """user_id, item_id, neg: for each pair up to k items that the user has not, from `tries` draws."""
-    drawn = positives.select("user_id", "item_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    drawn = drawn.withColumn("neg", draw(F.col("user_id") * 1_009 + F.col("item_id"), F.col("t").cast("long"), seed) % n_items + first)
-    free = drawn.join(positives.select("user_id", F.col("item_id").alias("neg")).distinct(), ["user_id", "neg"], "left_anti")
-    w = Window.partitionBy("user_id", "item_id").orderBy("t")
-    return free.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("user_id", "item_id", "k", "neg")
+def negatives(positives: DataFrame, items: DataFrame, k: int, seed: int) -> DataFrame:
+    """user_id, item_id, k, neg: for each pair k different items of `items` (item_id) that the user has not, or all such
+    items where there are fewer.
+
+    A pair draws a place in the circle of all items and takes the first k items from there on that are not the user's. It
+    looks at 4 k places, and pairs that come short at four times as many, until none is short, so that only they pay for
+    users of many items.
+    """
+    from arcloom.functions.durable import durable
+
+    circle = durable(ranked_items(items))
+    size = circle.count()
+    own = durable(positives.select("user_id", "item_id").distinct())
+    taken = own.withColumnRenamed("item_id", "neg")
+    first = draw(F.col("user_id"), F.col("item_id"), seed)
+    pending, out, reach = own, None, 4 * k
+    while size:
+        reach = min(reach, size)
+        asked = pending.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reach - 1).cast("long"))))
+        drawn = asked.withColumn("place", (first + F.col("t")) % size).join(circle, "place").select("user_id", "item_id", "t", "neg")
+        free = drawn.join(taken, ["user_id", "neg"], "left_anti")
+        pair = Window.partitionBy("user_id", "item_id")
+        ranked = durable(free.withColumn("k", F.row_number().over(pair.orderBy("t"))).where(F.col("k") <= k))
+        whole = ranked.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("user_id", "item_id")
+        last = reach == size
+        part = (ranked if last else ranked.join(whole, ["user_id", "item_id"], "left_semi")).select("user_id", "item_id", "k", "neg")
+        out = part if out is None else out.unionAll(part)
+        if last:
+            break
+        pending = durable(pending.join(whole, ["user_id", "item_id"], "left_anti"))
+        if pending.isEmpty():
+            break
+        reach *= 4
+    return own.limit(0).select("user_id", "item_id", F.lit(0).alias("k"), F.col("item_id").alias("neg")) if out is None else out
+
+
+def ranked_items(items: DataFrame) -> DataFrame:
+    """neg, place: the items in order, numbered from 0 by ranges, so that no task sorts all."""
+    from arcloom.operators.edges import relabel
+
+    return relabel(items.select(F.col("item_id").alias("id")).distinct()).select(F.col("id").alias("neg"), F.col("new_id").alias("place"))
+
+
+def missing_pairs(edges: DataFrame, nodes: DataFrame, count: int, seed: int) -> DataFrame:
+    """i, j: `count` different pairs of different nodes that are no edge (all of them, if there are fewer).
+
+    Draw t is of the node at place t mod n, and a place drawn from that and t div n; draws go on in rounds until there
+    are enough pairs, of which those of the least t stay.
+    """
+    from arcloom.functions.durable import durable
+
+    ids = durable(ranked_items(nodes.select(F.col("id").alias("item_id"))))
+    n = ids.count()
+    known = durable(edges.where("src <> dst").select(F.col("src").alias("i"), F.col("dst").alias("j")).distinct())
+    inside = known.join(ids.select(F.col("neg").alias("i")), "i", "left_semi").join(ids.select(F.col("neg").alias("j")), "j", "left_semi")
+    goal, found, have, at = min(count, n * (n - 1) - inside.count()), known.limit(0).withColumn("t", F.lit(0).cast("long")), 0, 0
+    while have < goal:
+        size = 2 * (goal - have) + 64
+        draws = edges.sparkSession.range(at, at + size).withColumnRenamed("id", "t").withColumn("pi", F.col("t") % n)
+        draws = draws.withColumn("pj", (F.col("pi") + 1 + draw(F.col("pi"), F.floor(F.col("t") / n), seed) % (n - 1)) % n)
+        draws = draws.join(ids.select(F.col("place").alias("pi"), F.col("neg").alias("i")), "pi").join(ids.select(F.col("place").alias("pj"), F.col("neg").alias("j")), "pj")
+        fresh = draws.groupBy("i", "j").agg(F.min("t").alias("t")).join(known, ["i", "j"], "left_anti")
+        found = durable(found.unionByName(fresh.join(found.select("i", "j"), ["i", "j"], "left_anti")))
+        have, at = found.count(), at + size
+    return found.orderBy("t").limit(goal).select("i", "j")
+
+
+def exact_split(rows: DataFrame, key: str, ties: list[str], ratios: tuple[float, float], names: tuple[str, str, str]) -> DataFrame:
+    """The ties' columns and role: floor(ratio * n) rows of the least `key` take the first name, as many by the second
+    ratio the second, the rest the third. Ranks are counted in ranges of the key, so that no task sorts all rows."""
+    part = rows.withColumn("_p", F.floor(F.col(key) / 256))
+    sizes = part.groupBy("_p").agg(F.count("*").alias("_c"))  # the draw has 1,000,033 values at most: 3,907 ranges
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_b"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    ranked = part.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key, *ties))).join(F.broadcast(before), "_p")
+    k, a, b = F.col("_k") + F.col("_b"), F.floor(F.col("_n") * ratios[0]), F.floor(F.col("_n") * ratios[1])
+    return ranked.select(*ties, F.when(k <= a, names[0]).when(k <= a + b, names[1]).otherwise(names[2]).alias("role"))
 
 
 def second_order_weights(edges: DataFrame, p: float, q: float) -> DataFrame:

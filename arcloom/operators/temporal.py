@@ -124,11 +124,56 @@ def memory(events: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.max("t").alias("last_update"), F.max_by("eid", F.struct("t", "eid")).alias("last_eid"))
 
 
+def linked(events: DataFrame) -> DataFrame:
+    """node, eid, other, previous: each interaction and the event before it in its node's list."""
+    return both_ways(events).select("node", "eid", "other", F.lag("eid").over(Window.partitionBy("node").orderBy("eid", "other")).alias("previous"))
+
+
 def message_store(events: DataFrame, batch: Column) -> DataFrame:
-    """node, batch, n: messages of the newest batch that touched the node."""
+    """node, eid, other, t, batch: the messages of the newest batch that touched the node."""
     both = both_ways(events).withColumn("batch", batch)
     top = both.groupBy("node").agg(F.max("batch").alias("batch"))
-    return both.join(top, ["node", "batch"]).groupBy("node", "batch").agg(F.count("*").alias("n"))
+    return both.join(top, ["node", "batch"])
+
+
+#: Weights of the gated unit that updates memories: for the update gate, the reset gate and the candidate, those of the
+#: message and those of the state.
+GATES = (([[0.5, -0.25], [0.25, 0.5]], [[0.125, 0.5], [-0.5, 0.25]]), ([[-0.25, 0.5], [0.5, 0.125]], [[0.25, -0.125], [0.5, 0.5]]), ([[1.0, 0.5], [-0.5, 1.0]], [[0.5, -0.25], [0.25, 0.5]]))
+
+
+def _gated(h: list[Column], m: list[Column]) -> list[Column]:
+    """One step of a gated recurrent unit of two cells."""
+    (wz, uz), (wr, ur), (wc, uc) = GATES
+    lin = lambda w, x, k: w[k][0] * x[0] + w[k][1] * x[1]
+    sig = lambda x: 1 / (1 + F.exp(-x))
+    out = []
+    for k in (0, 1):
+        z, r = sig(lin(wz, m, k) + lin(uz, h, k)), sig(lin(wr, m, k) + lin(ur, h, k))
+        out.append(h[k] + z * (F.tanh(lin(wc, m, k) + r * lin(uc, h, k)) - h[k]))
+    return out
+
+
+def gated_memory(events: DataFrame, batch: Column, kind: str = "tgn") -> DataFrame:
+    """node, last_update, h0, h1: memories after all batches. In each batch a node's messages are brought down to one
+    (`tgn`: the last; `dyrep`: how many there are), and a gated step takes the memory on. What a step needs of a batch is
+    a row for each node and batch, folded in order; events themselves are never gathered."""
+    b = both_ways(events).withColumn("batch", batch).groupBy("node", "batch").agg(F.max("t").cast("double").alias("last"), F.count("*").alias("n"), F.max_by("other", F.struct("t", "eid", "other")).alias("other"))
+    first = (F.col("other") % 7).cast("double") / 7 if kind == "tgn" else F.col("n").cast("double") / (F.col("n") + 1)
+    steps = b.select("node", F.struct("batch", "last", first.alias("a")).alias("s")).groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("steps"))
+    start = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("h0"), F.lit(0.0).alias("h1"))
+
+    def step(m: Column, s: Column) -> Column:
+        h0, h1 = _gated([m["h0"], m["h1"]], [s["a"], F.least(s["last"] - m["last"], F.lit(1000.0)) / 1000])
+        return F.struct(s["last"].alias("last"), h0.alias("h0"), h1.alias("h1"))
+
+    out = steps.select("node", F.aggregate("steps", start, step).alias("m"))
+    return out.select("node", F.col("m.last").cast("long").alias("last_update"), "m.h0", "m.h1")
+
+
+def merged(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """node, versions, version, emb: the base with all updates taken in; version -1 where there is none."""
+    new = updates.groupBy("node").agg(F.count("*").alias("versions"), F.max("version").alias("version"), F.max_by("emb", "version").alias("new"))
+    return base.join(new, "node", "left").select("node", F.coalesce("versions", F.lit(0)).alias("versions"), F.coalesce("version", F.lit(-1)).alias("version"), F.coalesce("new", "emb").alias("emb"))
 
 
 def first_edges(edges: DataFrame, order: str = "eid") -> DataFrame:

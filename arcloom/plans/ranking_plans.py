@@ -13,8 +13,7 @@ from arcloom.plans.registry import query
 from arcloom.plans.sqltext import mix, step
 from arcloom.sources import views as V
 
-USERS = 200_000
-_P = f"WITH {V.SQL_PAIRS}"
+_P = f"WITH {V.SQL_PAIRS}, us AS (SELECT max(user_id) + 1 AS beyond FROM p)"
 _SPLIT = _P + f""", r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {draw_sql('user_id', 'item_id', 42)}, item_id) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM p), sp AS (SELECT user_id, item_id, CAST(CASE WHEN k <= floor(c * 0.8) THEN 0 WHEN k <= floor(c * 0.8) + floor(c * 0.1) THEN 1 ELSE 2 END AS INTEGER) AS part FROM r)"""
 _SCORES = _SPLIT + f""", u AS (SELECT DISTINCT user_id FROM p), it AS (SELECT DISTINCT item_id FROM p), sc AS (SELECT u.user_id, it.item_id, CAST({draw_sql('u.user_id', 'it.item_id', 9)} AS DOUBLE) AS score FROM u, it), fr AS (SELECT sc.* FROM sc LEFT JOIN sp ON sp.user_id = sc.user_id AND sp.item_id = sc.item_id AND sp.part = 0 WHERE sp.user_id IS NULL), tk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM fr), rl AS (SELECT tk.user_id, tk.item_id, tk.rank, t.user_id IS NOT NULL AS rel, c.n_pos FROM tk LEFT JOIN (SELECT user_id, item_id FROM sp WHERE part = 2) t ON t.user_id = tk.user_id AND t.item_id = tk.item_id JOIN (SELECT user_id, count(*) AS n_pos FROM sp WHERE part = 2 GROUP BY user_id) c ON c.user_id = tk.user_id WHERE rank <= 200)"""
 
@@ -33,16 +32,16 @@ def _ranked(spark, sf, k=200):
     return R.relevance(R.top_k(_scores(sp), sp.where("part = 0"), k), sp.where("part = 2"))
 
 
-@query("bipartite_edges", f"{_P} SELECT user_id AS src, item_id + {USERS} AS dst, CAST(1 AS DOUBLE) AS w FROM p UNION ALL SELECT item_id + {USERS}, user_id, CAST(1 AS DOUBLE) FROM p")
+@query("bipartite_edges", f"{_P} SELECT user_id AS src, item_id + beyond AS dst, CAST(1 AS DOUBLE) AS w FROM p, us UNION ALL SELECT item_id + beyond, user_id, CAST(1 AS DOUBLE) FROM p, us")
 def _(spark, sf):
-    return R.bipartite(V.pairs(spark, sf), USERS)
+    return R.bipartite(V.pairs(spark, sf))
 
 
-_LG = _P + f""", e AS (SELECT user_id AS src, item_id + {USERS} AS dst, 1.0 AS w FROM p UNION ALL SELECT item_id + {USERS}, user_id, 1.0 FROM p), n AS (SELECT DISTINCT src AS id FROM e), f AS (SELECT id, 0 AS pos, CAST(id % 7 AS DOUBLE) AS v FROM n UNION ALL SELECT id, 1, CAST(id % 11 AS DOUBLE) FROM n), dg AS (SELECT dst AS id, sum(w) AS d FROM e GROUP BY dst), a AS (SELECT e.src, e.dst, pow(s.d, -0.5) * pow(t.d, -0.5) AS w FROM e JOIN dg s ON s.id = e.src JOIN dg t ON t.id = e.dst), {step('h1', 'a', 'f')}, {step('h2', 'a', 'h1')}"""
+_LG = _P + f""", e AS (SELECT user_id AS src, item_id + beyond AS dst, 1.0 AS w FROM p, us UNION ALL SELECT item_id + beyond, user_id, 1.0 FROM p, us), n AS (SELECT DISTINCT src AS id FROM e), f AS (SELECT id, 0 AS pos, CAST(id % 7 AS DOUBLE) AS v FROM n UNION ALL SELECT id, 1, CAST(id % 11 AS DOUBLE) FROM n), dg AS (SELECT dst AS id, sum(w) AS d FROM e GROUP BY dst), a AS (SELECT e.src, e.dst, pow(s.d, -0.5) * pow(t.d, -0.5) AS w FROM e JOIN dg s ON s.id = e.src JOIN dg t ON t.id = e.dst), {step('h1', 'a', 'f')}, {step('h2', 'a', 'h1')}"""
 
 
 def _lg(spark, sf):
-    e = R.bipartite(V.pairs(spark, sf), USERS)
+    e = R.bipartite(V.pairs(spark, sf))
     n = e.select(F.col("src").alias("id")).distinct().select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("x"))
     return n, P.gcn_norm(e, n, loops=False)
 
@@ -151,9 +150,9 @@ def _(spark, sf):
     return V.table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("klass")).agg(r6(F.avg(ok)).alias("accuracy"))
 
 
-@query("recsys_negatives", f"{_P}, d AS (SELECT user_id, item_id, CAST(t AS BIGINT) AS t, {draw_sql('user_id * 1009 + item_id', 't', 6)} % 2000 + 1 AS neg FROM p, unnest(range(6)) x(t)), f AS (SELECT d.*, row_number() OVER (PARTITION BY d.user_id, d.item_id ORDER BY t) AS k FROM d LEFT JOIN p ON p.user_id = d.user_id AND p.item_id = d.neg WHERE p.user_id IS NULL) SELECT user_id, item_id, k, neg FROM f WHERE k <= 2")
+@query("recsys_negatives", f"{_P}, c AS (SELECT p_partkey AS neg, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM (SELECT DISTINCT p_partkey FROM part)), z AS (SELECT count(*) AS size FROM c), h AS (SELECT user_id, count(*) AS d FROM p GROUP BY user_id), a AS (SELECT p.user_id, p.item_id, x.t, ({draw_sql('p.user_id', 'p.item_id', 6)} + x.t) % z.size AS place FROM p JOIN h ON h.user_id = p.user_id, z, unnest(range(least(h.d + 2, z.size))) x(t)), f AS (SELECT a.user_id, a.item_id, c.neg, row_number() OVER (PARTITION BY a.user_id, a.item_id ORDER BY a.t) AS k FROM a JOIN c ON c.place = a.place LEFT JOIN p ON p.user_id = a.user_id AND p.item_id = c.neg WHERE p.user_id IS NULL) SELECT user_id, item_id, k, neg FROM f WHERE k <= 2")
 def _(spark, sf):
-    return S.negatives(V.pairs(spark, sf), 2000, 2, 6, 6).select("user_id", "item_id", "k", "neg")
+    return S.negatives(V.pairs(spark, sf), V.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")), 2, 6).select("user_id", "item_id", "k", "neg")
 
 
 _SEQ = _P + ", s AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY first_day, item_id) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM p)"

@@ -71,27 +71,26 @@ def _(spark, sf):
     return S.skip_grams(S.random_walks(V.session_edges(spark, sf), V.nodes(spark, sf).select("id"), 3, 8), 2)
 
 
-@query("line_edge_negatives", f"{EDGES}, d AS (SELECT e.src AS user_id, e.dst AS item_id, CAST(t AS BIGINT) AS t, {draw_sql('e.src * 1009 + e.dst', 't', 21)} % 2000 AS neg FROM e, unnest(range(4)) x(t)), f AS (SELECT d.*, row_number() OVER (PARTITION BY user_id, item_id ORDER BY t) AS k FROM d LEFT JOIN e ON e.src = d.user_id AND e.dst = d.neg WHERE e.src IS NULL) SELECT user_id AS src, item_id AS dst, neg FROM f WHERE k <= 1")
+@query("line_edge_negatives", f"{EDGES}, c AS (SELECT id AS neg, row_number() OVER (ORDER BY id) - 1 AS place FROM n), z AS (SELECT count(*) AS size FROM c), h AS (SELECT src, count(*) AS d FROM e GROUP BY src), a AS (SELECT e.src, e.dst, x.t, ({draw_sql('e.src', 'e.dst', 21)} + x.t) % z.size AS place FROM e JOIN h ON h.src = e.src, z, unnest(range(least(h.d + 1, z.size))) x(t)), f AS (SELECT a.src, a.dst, c.neg, row_number() OVER (PARTITION BY a.src, a.dst ORDER BY a.t) AS k FROM a JOIN c ON c.place = a.place LEFT JOIN e ON e.src = a.src AND e.dst = c.neg WHERE e.src IS NULL) SELECT src, dst, neg FROM f WHERE k <= 1")
 def _(spark, sf):
     p = V.session_edges(spark, sf).select(F.col("src").alias("user_id"), F.col("dst").alias("item_id"))
-    return S.negatives(p, 2000, 1, 4, 21, first=0).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"), "neg")
+    return S.negatives(p, V.nodes(spark, sf).select(F.col("id").alias("item_id")), 1, 21).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"), "neg")
 
 
-@query("evaluation_negative_pairs", f"{EDGES}, d AS (SELECT {draw_sql('k', '1', 31)} % 2000 AS i, {draw_sql('k', '2', 31)} % 2000 AS j FROM unnest(range(5000)) t(k)) SELECT DISTINCT d.i, d.j FROM d LEFT JOIN e ON e.src = d.i AND e.dst = d.j WHERE e.src IS NULL AND d.i <> d.j")
+@query("evaluation_negative_pairs", f"{EDGES}, c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM n), z AS (SELECT count(*) AS size FROM c), g AS (SELECT count(*) AS goal FROM e), d AS (SELECT k AS t, k % z.size AS pi, (k % z.size + 1 + {draw_sql('k % z.size', 'k // z.size', 31)} % (z.size - 1)) % z.size AS pj FROM z, g, unnest(range(8 * goal + 1000)) t(k)), f AS (SELECT a.id AS i, b.id AS j, min(d.t) AS t FROM d JOIN c a ON a.place = d.pi JOIN c b ON b.place = d.pj GROUP BY a.id, b.id), x AS (SELECT f.*, row_number() OVER (ORDER BY t) AS k FROM f LEFT JOIN e ON e.src = f.i AND e.dst = f.j WHERE e.src IS NULL) SELECT i, j FROM x, g WHERE k <= goal")
 def _(spark, sf):
-    d = spark.range(5000).select((draw(F.col("id"), 1, 31) % 2000).alias("i"), (draw(F.col("id"), 2, 31) % 2000).alias("j")).where("i <> j").distinct()
-    e = V.session_edges(spark, sf).select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    return d.join(e, ["i", "j"], "left_anti")
+    """As many pairs as there are edges. The SQL draws eight times as many at once; the query in rounds, until it has them."""
+    e = V.session_edges(spark, sf)
+    return S.missing_pairs(e, V.nodes(spark, sf).select("id"), e.count(), 31)
 
 
-@query("link_split", f"{EDGES}, h AS (SELECT src, dst, {draw_sql('src', 'dst', 51)} AS d FROM e WHERE src < dst) SELECT src, dst, CASE WHEN d < 50001 THEN 'val' WHEN d < 150004 THEN 'test' ELSE 'train' END AS role FROM h")
+@query("link_split", f"{EDGES}, h AS (SELECT src, dst, row_number() OVER (ORDER BY {draw_sql('src', 'dst', 51)}, src, dst) AS k, count(*) OVER () AS c FROM e WHERE src < dst) SELECT src, dst, CASE WHEN k <= floor(c * 0.05) THEN 'val' WHEN k <= floor(c * 0.05) + floor(c * 0.1) THEN 'test' ELSE 'train' END AS role FROM h")
 def _(spark, sf):
-    h = V.session_edges(spark, sf).where("src < dst").withColumn("d", draw(F.col("src"), F.col("dst"), 51))
-    return h.select("src", "dst", F.when(F.col("d") < 50_001, "val").when(F.col("d") < 150_004, "test").otherwise("train").alias("role"))
+    h = V.session_edges(spark, sf).where("src < dst").select("src", "dst", draw(F.col("src"), F.col("dst"), 51).alias("d"))
+    return S.exact_split(h, "d", ["src", "dst"], (0.05, 0.1), ("val", "test", "train"))
 
 
-# This SQL stops at 500 symbols; the query returns all.
-@query("walk_corpus_vocabulary", f"WITH {V.SQL_ROWS}, c AS (SELECT dst AS symbol, count(*) AS cnt FROM rows_ GROUP BY dst) SELECT symbol, cnt, row_number() OVER (ORDER BY cnt DESC, symbol) + 2 AS idx FROM c ORDER BY cnt DESC, symbol LIMIT 500")
+@query("walk_corpus_vocabulary", f"WITH {V.SQL_ROWS}, c AS (SELECT dst AS symbol, count(*) AS cnt FROM rows_ GROUP BY dst) SELECT symbol, cnt, row_number() OVER (ORDER BY cnt DESC, symbol) + 2 AS idx FROM c")
 def _(spark, sf):
     c = V.session_rows(spark, sf).groupBy(F.col("dst").alias("symbol")).agg(F.count("*").alias("cnt"))
     return E.ranked_by_count(c).select("symbol", "cnt", (F.col("rank") + 3).alias("idx"))
@@ -114,11 +113,11 @@ def _(spark, sf):
     return B.disjoint_union(n, e)[1]
 
 
-@query("unbatch_graph", f"WITH {_LINES} SELECT l.gid, l.local AS src, l.local + 1 AS dst FROM l JOIN s ON s.gid = l.gid WHERE l.local + 1 < s.c AND l.gid = 7")
+@query("unbatch_graph", f"WITH {_LINES} SELECT l.gid, l.local AS src, l.local + 1 AS dst FROM l JOIN s ON s.gid = l.gid WHERE l.local + 1 < s.c")
 def _(spark, sf):
     n, e = _orders(spark, sf)
     _nodes, edges, start = B.disjoint_union(n, e)
-    return B.unbatched(edges, start, 7)
+    return B.unbatched(edges, start)
 
 
 @query("graph_data_loader", "SELECT o_orderkey AS gid, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 32) AS BIGINT) AS batch FROM orders")

@@ -89,28 +89,49 @@ def _(spark, sf):
     return two.select(F.col("q1").alias("qid"), "rank1", F.col("rank").alias("rank2"), "other")
 
 
-@query("first_hop_history", f"WITH {_SQL} SELECT q.qid, count(*) AS n, min(a.eid) AS first_eid, max(a.eid) AS last_eid, CAST(sum(a.other) AS BIGINT) AS others FROM q JOIN adj a ON a.node = q.node AND a.t < q.t GROUP BY q.qid")
+@query("first_hop_history", f"WITH {_SQL} SELECT q.qid, a.eid, a.other, a.t AS t_other FROM q JOIN adj a ON a.node = q.node AND a.t < q.t")
 def _(spark, sf):
+    """Every event's whole history, a row for each interaction before it."""
     e = _events(spark, sf)
-    full = T.recent(_queries(e), T.both_ways(e), 1 << 30)
-    return full.groupBy("qid").agg(F.count("*").alias("n"), F.min("eid").alias("first_eid"), F.max("eid").alias("last_eid"), F.sum("other").alias("others"))
+    return T.recent(_queries(e), T.both_ways(e), 1 << 30).select("qid", "eid", "other", "t_other")
 
 
-for _name in ("last_neighbour_state", "linked_list_last_neighbours"):
-    @query(_name, f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY eid DESC, other) AS rank FROM adj) SELECT node, other, eid, rank FROM r WHERE rank <= 10")
-    def _(spark, sf):
-        return T.last_state(_events(spark, sf), 10)
+@query("last_neighbour_state", f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY eid DESC, other) AS rank FROM adj) SELECT node, other, eid, rank FROM r WHERE rank <= 10")
+def _(spark, sf):
+    return T.last_state(_events(spark, sf), 10)
+
+
+@query("linked_list_last_neighbours", f"WITH {_SQL} SELECT node, eid, other, lag(eid) OVER (PARTITION BY node ORDER BY eid, other) AS previous FROM adj")
+def _(spark, sf):
+    """The lists themselves: each entry points to the one before it at its node."""
+    return T.linked(_events(spark, sf))
+
+
+_STATE = f"WITH RECURSIVE {_SQL}, k AS (SELECT *, t // {{batch}} AS batch FROM adj), z AS (SELECT node, batch, CAST(max(t) AS DOUBLE) AS last, count(*) AS n, arg_max(other, (t, eid, other)) AS other FROM k GROUP BY node, batch), o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY batch) AS r FROM z)"
+_MSG = {"tgn": ("CAST(o.other % 7 AS DOUBLE) / 7", "CAST(least(o.last - m.last, 1000) AS DOUBLE) / 1000"), "dyrep": ("CAST(o.n AS DOUBLE) / (o.n + 1)", "CAST(least(o.last - m.last, 1000) AS DOUBLE) / 1000")}
 
 
-for _name in ("tgn_memory", "dyrep_memory"):
-    @query(_name, f"WITH {_SQL} SELECT node, max(t) AS last_update, arg_max(eid, (t, eid)) AS last_eid FROM adj GROUP BY node")
-    def _(spark, sf):
-        return T.memory(_events(spark, sf))
+def _gru_sql(a: str, b: str) -> str:
+    """The hidden pair (h0, h1) after one gated step on the message (a, b); the weights of T.GATES."""
+    (wz, uz), (wr, ur), (wc, uc) = T.GATES
+    gate = lambda w, u, k, s: f"1 / (1 + exp(-({w[k][0]!r} * ({a}) + {w[k][1]!r} * ({b}) + {u[k][0]!r} * {s}0 + {u[k][1]!r} * {s}1)))"
+    new = lambda k: f"tanh({wc[k][0]!r} * ({a}) + {wc[k][1]!r} * ({b}) + ({gate(wr, ur, k, 'm.h')}) * ({uc[k][0]!r} * m.h0 + {uc[k][1]!r} * m.h1))"
+    return ", ".join(f"m.h{k} + ({gate(wz, uz, k, 'm.h')}) * ({new(k)} - m.h{k}) AS h{k}" for k in (0, 1))
 
 
-@query("message_store", f"WITH {_SQL}, b AS (SELECT *, t // 30 AS batch FROM adj), m AS (SELECT node, max(batch) AS batch FROM b GROUP BY node) SELECT b.node, b.batch, count(*) AS n FROM b JOIN m ON m.node = b.node AND m.batch = b.batch GROUP BY b.node, b.batch")
+for _name, _kind in (("tgn_memory", "tgn"), ("dyrep_memory", "dyrep")):
+    @query(_name, f"{_STATE.format(batch=365)}, m AS (SELECT node, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS last, CAST(0 AS DOUBLE) AS h0, CAST(0 AS DOUBLE) AS h1 FROM (SELECT DISTINCT node FROM o) UNION ALL SELECT m.node, o.r, o.last, {_gru_sql(*_MSG[_kind])} FROM m JOIN o ON o.node = m.node AND o.r = m.r + 1) SELECT node, CAST(last AS BIGINT) AS last_update, round(h0, 5) AS h0, round(h1, 5) AS h1 FROM m WHERE r > 0 AND (node, r) IN (SELECT node, max(r) FROM o GROUP BY node)")
+    def _(spark, sf, kind=_kind):
+        """The nodes' memory vectors after all batches of a year: messages made, the last one (or their number) taken, a
+        gated step for each batch."""
+        return T.gated_memory(_events(spark, sf), F.floor(F.col("t") / 365), kind).select("node", "last_update", F.round("h0", 5).alias("h0"), F.round("h1", 5).alias("h1"))
+
+
+@query("message_store", f"WITH {_SQL}, b AS (SELECT *, t // 30 AS batch FROM adj), m AS (SELECT node, max(batch) AS batch FROM b GROUP BY node) SELECT b.node, b.eid, b.other, b.t, CAST(b.node % 7 AS DOUBLE) AS m0, CAST(b.other % 7 AS DOUBLE) AS m1 FROM b JOIN m ON m.node = b.node AND m.batch = b.batch")
 def _(spark, sf):
-    return T.message_store(_events(spark, sf), F.floor(F.col("t") / 30))
+    """The messages that each node still holds: those of the newest batch that touched it."""
+    held = T.message_store(_events(spark, sf), F.floor(F.col("t") / 30))
+    return held.select("node", "eid", "other", "t", (F.col("node") % 7).cast("double").alias("m0"), (F.col("other") % 7).cast("double").alias("m1"))
 
 
 @query("identity_message", f"WITH {_SQL}, {V.SQL_NODES}, m AS (SELECT eid, 0 AS pos, CAST(src % 7 AS DOUBLE) AS v FROM ev UNION ALL SELECT eid, 1, CAST(dst % 7 AS DOUBLE) FROM ev UNION ALL SELECT eid, 2, round(cos(CAST(t % 100 AS DOUBLE)), 6) FROM ev) SELECT eid, pos, v FROM m")
@@ -154,23 +175,35 @@ def _(spark, sf):
     return long_form(seq.select("qid", F.concat(F.array("node"), "neighbours").alias("x")), key=("qid",)).select("qid", "pos", F.floor(F.col("pos") / 4).alias("patch"), "v")
 
 
-@query("graphmixer_node_mean", f"WITH {_REC} SELECT qid, round(avg(CAST(other % 7 AS DOUBLE)), 6) AS mean FROM rk WHERE rank <= 20 GROUP BY qid")
+@query("graphmixer_node_mean", f"WITH {_REC} SELECT q.qid, round(coalesce(m.s / 20, 0) + q.node % 7, 6) AS mean FROM q LEFT JOIN (SELECT qid, sum(CAST(other % 7 AS DOUBLE) * 20 / k) AS s FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS k FROM rk WHERE rank <= 20) GROUP BY qid) m ON m.qid = q.qid")
 def _(spark, sf):
+    """The softmax over a mask of real neighbours is an even weight for each; the padded places weigh nothing. To their
+    mean the node's own feature is added, and a node without a past keeps that alone."""
     e = _events(spark, sf)
-    return T.recent(_queries(e), T.both_ways(e), 20).groupBy("qid").agg(r6(F.avg((F.col("other") % 7).cast("double"))).alias("mean"))
+    q = _queries(e)
+    mean = T.recent(q, T.both_ways(e), 20).groupBy("qid").agg(F.avg((F.col("other") % 7).cast("double")).alias("m"))
+    return q.join(mean, "qid", "left").select("qid", r6(F.coalesce("m", F.lit(0.0)) + F.col("node") % 7).alias("mean"))
 
 
-@query("dynamic_adjacency", f"WITH {_SQL}, d AS (SELECT src, dst, min(eid) AS eid FROM ev GROUP BY src, dst) SELECT coalesce(a.id, b.id) AS id, coalesce(a.c, 0) AS out_degree, coalesce(b.c, 0) AS in_degree FROM (SELECT src AS id, count(*) AS c FROM d GROUP BY src) a FULL JOIN (SELECT dst AS id, count(*) AS c FROM d GROUP BY dst) b ON a.id = b.id")
+@query("dynamic_adjacency", f"WITH {_SQL}, d AS (SELECT src, dst, min(eid) AS eid FROM ev GROUP BY src, dst) SELECT src, dst, eid, row_number() OVER (PARTITION BY src ORDER BY eid, dst) - 1 AS out_place, row_number() OVER (PARTITION BY dst ORDER BY eid, src) - 1 AS in_place FROM d")
 def _(spark, sf):
+    """The lists of both directions: each edge once, at its first event, and where it stands in its ends' lists."""
     d = T.first_edges(_events(spark, sf))
-    both = d.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(d.select("dst", F.lit(0), F.lit(1)))
-    return both.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    place = lambda key, other: (F.row_number().over(Window.partitionBy(key).orderBy("eid", other)) - 1)
+    return d.select("src", "dst", "eid", place("src", "dst").alias("out_place"), place("dst", "src").alias("in_place"))
+
+
+@query("dynamic_edge_lookup", f"WITH {_SQL}, d AS (SELECT src, dst, min(eid) AS eid FROM ev GROUP BY src, dst) SELECT ev.eid, coalesce(d.eid < ev.eid, false) AS known FROM ev LEFT JOIN d ON d.src = ev.src AND d.dst = ev.dst")
+def _(spark, sf):
+    """Whether each event's edge was there before it."""
+    e = _events(spark, sf)
+    d = T.first_edges(e).withColumnRenamed("eid", "first")
+    return e.join(d, ["src", "dst"], "left").select("eid", F.coalesce(F.col("first") < F.col("eid"), F.lit(False)).alias("known"))
 
 
-# This SQL knows batches of 50 events alone, which do not meet. The queries have one graph of all events, and batches
-# only for pairs of events: their rows differ from the SQL's.
-_EV = "ev AS (SELECT event_id, ts AS t, event_id // 50 * 1000000 + user_id AS src, event_id // 50 * 1000000 + 900000 + CAST(floor(value) AS BIGINT) % 40 AS dst FROM events)"
-_SUB = f"{_EV}, two AS (SELECT src, dst FROM ev UNION SELECT dst, src FROM ev), s0 AS (SELECT event_id, src AS node FROM ev UNION SELECT event_id, dst FROM ev), sub AS (SELECT event_id, node FROM s0 UNION SELECT s0.event_id, two.dst FROM s0 JOIN two ON two.src = s0.node)"
+# One graph of all events; batches of 50 are for pairs of events alone.
+_EV = "ev AS (SELECT event_id, event_id // 50 AS batch, ts AS t, user_id AS src, 900000 + CAST(floor(value) AS BIGINT) % 40 AS dst FROM events)"
+_SUB = f"{_EV}, two AS (SELECT src, dst FROM ev UNION SELECT dst, src FROM ev), s0 AS (SELECT event_id, batch, src AS node FROM ev UNION SELECT event_id, batch, dst FROM ev), sub AS (SELECT event_id, batch, node FROM s0 UNION SELECT s0.event_id, s0.batch, two.dst FROM s0 JOIN two ON two.src = s0.node)"
 
 
 def _typed(spark, sf):
@@ -194,7 +227,7 @@ def _(spark, sf):
     return T.near(_typed(spark, sf)).select("event_id", F.explode("nodes").alias("node"))
 
 
-_DEPS = f"{_SUB}, dep AS (SELECT DISTINCT a.event_id AS before_id, b.event_id AS after_id FROM (SELECT event_id, t, src AS node FROM ev UNION SELECT event_id, t, dst FROM ev) a JOIN sub s ON s.node = a.node JOIN ev b ON b.event_id = s.event_id AND a.t < b.t)"
+_DEPS = f"{_SUB}, dep AS (SELECT DISTINCT a.event_id AS before_id, b.event_id AS after_id FROM (SELECT event_id, batch, t, src AS node FROM ev UNION SELECT event_id, batch, t, dst FROM ev) a JOIN sub s ON s.node = a.node AND s.batch = a.batch JOIN ev b ON b.event_id = s.event_id AND a.t < b.t)"
 
 
 @query("event_dependencies", f"WITH {_DEPS} SELECT before_id, after_id FROM dep")
@@ -202,7 +235,7 @@ def _(spark, sf):
     return _dependencies(_typed(spark, sf))
 
 
-@query("execution_layers", f"WITH RECURSIVE {_DEPS}, lv AS (SELECT event_id, 0 AS layer FROM ev UNION SELECT dep.after_id, lv.layer + 1 FROM lv JOIN dep ON dep.before_id = lv.event_id) SELECT event_id, CAST(max(layer) AS INTEGER) AS layer FROM lv GROUP BY event_id")
+@query("execution_layers", f"WITH RECURSIVE {_DEPS.replace('dep AS (', 'dep AS MATERIALIZED (')}, lv AS (SELECT event_id, 0 AS layer FROM ev UNION SELECT dep.after_id, lv.layer + 1 FROM lv JOIN dep ON dep.before_id = lv.event_id) SELECT event_id, CAST(max(layer) AS INTEGER) AS layer FROM lv GROUP BY event_id")
 def _(spark, sf):
     e = _typed(spark, sf)
     return T.layers(e, _dependencies(e))
@@ -215,6 +248,28 @@ def _(spark, sf):
     return T.read_latest(base, updates, 5000)
 
 
+_VERSIONS = "WITH u AS (SELECT user_id AS node, event_id AS version, value AS emb FROM events), cut AS (SELECT max(event_id) // 2 AS c FROM events)"
+
+
+@query("versioned_embedding_merge", f"{_VERSIONS} SELECT c_custkey AS node, count(u.version) AS versions, coalesce(max(u.version), -1) AS version, coalesce(arg_max(u.emb, u.version), 0.0) AS emb FROM customer LEFT JOIN u ON u.node = c_custkey GROUP BY c_custkey")
+def _(spark, sf):
+    """All updates merged into the base: of each node the newest version, and how many it replaces."""
+    base = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.lit(0.0).alias("emb"))
+    return T.merged(base, _updates(spark, sf))
+
+
+@query("versioned_embedding_rollback", f"{_VERSIONS} SELECT node, version, emb FROM u, cut WHERE version <= c")
+def _(spark, sf):
+    """The update log after a rollback to its middle version: later versions are gone."""
+    u = _updates(spark, sf)
+    cut = u.agg(F.floor(F.max("version") / 2).alias("c"))
+    return u.crossJoin(F.broadcast(cut)).where("version <= c").select("node", "version", "emb")
+
+
+def _updates(spark, sf):
+    return V.table(spark, sf, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("version"), F.col("value").alias("emb"))
+
+
 @query("attention_matrix_init", f"WITH {_EV}, d AS (SELECT DISTINCT src, dst FROM ev) SELECT src, dst, round(1.0 / count(*) OVER (PARTITION BY src), 6) AS s FROM d")
 def _(spark, sf):
     d = _typed(spark, sf).select("src", "dst").distinct()
