@@ -27,8 +27,10 @@ from . import runtime
 FAN, SHARED_BYTES, HELD = 64, 64 << 20, 2000
 #: Different pages that must agree on a text before it counts as template: copies of one article agree on all of it.
 LEAST = 8
+#: Elements nested in each other; none of the texts deeper down is lost.
+DEEPEST = 200
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|(?:[^<]|<(?![A-Za-z/!?]))+|<""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # fixed values: element names of the HTML standard
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,8 +51,11 @@ def parse(page: str) -> Node:
     """The page's tree. Wrong nesting is mended: an end tag closes what is open inside it, or nothing."""
     root: Node = ["#", "#", []]
     stack = [root]
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
+        if at > last:  # no tag can end here any more
+            stack[-1][2].append(page[at:] if not page.startswith("<!--", at) else "")
+            break
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m.group(2) or m.group(5)
@@ -77,8 +82,11 @@ def parse(page: str) -> Node:
         if attributes and "=" in attributes:
             named = [" ".join(sorted(set(re.sub(r"\d+", "", next(g for g in x.groups()[1:] if g is not None)).lower().split()))) for x in _NAMED.finditer(attributes)]
             symbol = ".".join([tag, *filter(None, named)])
-        node: Node = [symbol, tag, []]
-        stack[-1][2].append(node)
+        if len(stack) > DEEPEST:  # what lies deeper stands in its ancestor, as in browsers, which also nest to a limit
+            node: Node = [symbol, tag, stack[-1][2]]
+        else:
+            node = [symbol, tag, []]
+            stack[-1][2].append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if tag in ("script", "style", "textarea", "title", "iframe", "noscript", "template"):
@@ -146,10 +154,10 @@ def _fold(items: list, longest: int = 4) -> list:
         while i < len(items):
             run = [x[0] for x in items[i : i + size]]
             j = i + size
-            if len(run) == size and (size == 1 or "#text" not in run[:1]):
+            if len(run) == size and run[0] != "#text":
                 while [x[0] for x in items[j : j + size]] == run:
                     j += size
-            if j > i + size and run != ["#text"]:
+            if j > i + size:
                 groups = [items[k : k + size] for k in range(i, j, size)]
                 first = groups[0]
                 for g in groups[1:]:

@@ -78,7 +78,8 @@ def fitted(df: DataFrame) -> DataFrame:
     own = df.rdd.getNumPartitions()
     if own <= FIT_LEAST:
         return df
-    parts = max(FIT_LEAST, -(-df.count() // FIT_ROWS))
+    rows = df._jdf.queryExecution().toRdd().count()  # of what is written already: no plan to make and compile
+    parts = max(FIT_LEAST, -(-rows // FIT_ROWS))
     return df.coalesce(parts) if parts < own else df
 
 

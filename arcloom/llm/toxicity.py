@@ -12,7 +12,9 @@ The labelled texts that it is fitted on are a bounded sample (`LEARN` of each cl
 
 from __future__ import annotations
 
+import gc
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -218,7 +220,7 @@ def leaning(texts: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def train(texts: list[str | None], toxic: np.ndarray, rounds: int = ROUNDS) -> Network:
-    words = [tokens(t) for t in texts]
+    words = [[sys.intern(w) for w in tokens(t)] for t in texts]  # one string for each different word
     texts.clear()
     own = [i for i, w in enumerate(words) if w]
     words, toxic = [words[i] for i in own], np.asarray(toxic)[own].astype(np.float32)
@@ -300,7 +302,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None)
     rows.sort(key=lambda r: r["doc_id"])
     texts, toxic = [r["text"] for r in rows], np.array([r["toxic"] for r in rows])
     del rows
-    return train(texts, toxic)
+    net = train(texts, toxic)
+    gc.collect()
+    runtime.trim()
+    return net
 
 
 def _scores(own: Network, column: pa.Array) -> np.ndarray:
