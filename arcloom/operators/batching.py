@@ -35,6 +35,17 @@ def renumbered(parts: DataFrame) -> DataFrame:
     return parts.select("id", "part", (F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).cast("long").alias("local"))
 
 
+def merged_parts(edges: DataFrame, parts: DataFrame, batches: int, seed: int) -> DataFrame:
+    """batch, src_id, dst_id, src, dst, w: small parts go to batches by a draw; the edges inside each batch, under its
+    nodes' own ids and under numbers from 0 inside it."""
+    from arcloom.functions.portable import draw
+
+    lo = renumbered(parts.select("id", (draw(F.col("part"), 3, seed) % batches).alias("part")))
+    s = lo.select(F.col("id").alias("src"), F.col("part").alias("batch"), F.col("local").alias("s"))
+    d = lo.select(F.col("id").alias("dst"), F.col("part").alias("_b"), F.col("local").alias("d"))
+    return edges.join(s, "src").join(d, "dst").where("batch = _b").select("batch", F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), F.col("s").alias("src"), F.col("d").alias("dst"), "w")
+
+
 def label_propagation_parts(edges: DataFrame, nodes: DataFrame, parts: int, rounds: int = 3) -> DataFrame:
     """id, part: nodes take the part that most neighbours have, from a hashed start; sizes are evened by a hash."""
     from arcloom.functions.durable import durable

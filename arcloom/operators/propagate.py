@@ -108,10 +108,13 @@ def gcn_conv(nodes, edges, weights, bias=None):
 
 
 def hops(nodes: DataFrame, adjacency: DataFrame, k: int, width: int) -> list[DataFrame]:
-    """[X, AX, ..., A^k X]."""
+    """[X, AX, ..., A^k X]. The adjacency is made and written once, and each step too where others build on it."""
     out = [nodes.select("id", "x")]
-    for _ in range(k):
-        out.append(propagate(out[-1], adjacency, width))
+    if k > 1:
+        adjacency = durable(adjacency)
+    for i in range(k):
+        x = propagate(out[-1], adjacency, width)
+        out.append(durable(x) if i < k - 1 else x)
     return out
 
 
@@ -122,10 +125,11 @@ def sg_conv(nodes, edges, k, weights, bias=None):
 
 def appnp(nodes, edges, k, alpha, width):
     """x <- (1 - alpha) A x + alpha h, k times."""
-    a = gcn_norm(edges, nodes)
+    a = durable(gcn_norm(edges, nodes))
     x = nodes.select("id", "x")
-    for _ in range(k):
+    for i in range(k):
         x = mixed(propagate(x, a, width), nodes.select("id", "x"), 1 - alpha, alpha)
+        x = durable(x) if i < k - 1 else x
     return x
 
 
@@ -159,11 +163,12 @@ def bernstein(nodes, edges, theta: list[float], width: int):
     from math import comb
 
     k = len(theta) - 1
-    lap = E.laplacian(edges, nodes, "sym")
+    lap = durable(E.laplacian(edges, nodes, "sym"))
     rest = lap.select("src", "dst", (-F.col("w")).alias("w")).unionAll(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(2.0).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     powers = [nodes.select("id", "x")]
+    rest = durable(rest)
     for _ in range(k):
-        powers.append(propagate(powers[-1], rest, width))
+        powers.append(durable(propagate(powers[-1], rest, width)))
     terms = []
     for i in range(k + 1):
         x = powers[k - i]
@@ -182,10 +187,14 @@ def scaled_laplacian(edges, nodes, lambda_max: float | None = 2.0):
 def chebyshev_basis(nodes, operator, k, width):
     """T_0 x .. T_k x by the three-term recurrence."""
     basis = [nodes.select("id", "x")]
+    if k > 1:
+        operator = durable(operator)
     if k:
-        basis.append(propagate(basis[0], operator, width))
-    for _ in range(k - 1):
-        basis.append(mixed(propagate(basis[-1], operator, width), basis[-2], 2.0, -1.0))
+        first = propagate(basis[0], operator, width)
+        basis.append(durable(first) if k > 1 else first)
+    for i in range(k - 1):
+        x = mixed(propagate(basis[-1], operator, width), basis[-2], 2.0, -1.0)
+        basis.append(durable(x) if i < k - 2 else x)
     return basis
 
 

@@ -29,6 +29,40 @@ def fan_out(edges: DataFrame, seeds: DataFrame, fanout: int, seed: int) -> DataF
     return e.withColumn("k", F.row_number().over(w)).where(F.col("k") <= fanout).select("src", "dst")
 
 
+def layered_batch(edges: DataFrame, seeds: DataFrame, fanouts: list[tuple[int, int]]) -> DataFrame:
+    """layer, src, dst, w: for each (fan-out, seed of draws) the sampled edges into all nodes met so far, under numbers
+    of the batch's own, weighted by 1 / sqrt of the degrees inside the layer."""
+    from arcloom.functions.durable import durable
+    from arcloom.operators.edges import relabel
+
+    met, layers = seeds.select("id").distinct(), None
+    for k, (size, seed) in enumerate(fanouts, 1):
+        own = durable(fan_out(edges, met, size, seed))
+        met = durable(met.union(own.select("src")).distinct())
+        one = own.select(F.lit(k).alias("layer"), "src", "dst")
+        layers = one if layers is None else layers.unionAll(one)
+    labels = durable(relabel(met))
+    s, d = labels.select(F.col("id").alias("src"), F.col("new_id").alias("s")), labels.select(F.col("id").alias("dst"), F.col("new_id").alias("d"))
+    out = layers.groupBy("layer", "src").agg(F.count("*").alias("cs"))
+    into = layers.groupBy("layer", "dst").agg(F.count("*").alias("cd"))
+    rows = layers.join(out, ["layer", "src"]).join(into, ["layer", "dst"]).join(s, "src").join(d, "dst")
+    return rows.select("layer", F.col("s").alias("src"), F.col("d").alias("dst"), (1 / (F.sqrt("cs") * F.sqrt("cd"))).alias("w"))
+
+
+def saint_edges(edges: DataFrame, budget: int, seed: int) -> DataFrame:
+    """src, dst, norm: edges are kept by a draw with odds in proportion to 1/deg(src) + 1/deg(dst), about `budget` of them;
+    all edges between the ends of these, with the inverse of their odds."""
+    o = edges.groupBy("src").agg(F.count("*").alias("co"))
+    i = edges.groupBy("dst").agg(F.count("*").alias("ci"))
+    raw = edges.join(o, "src").join(i, "dst").select("src", "dst", (1 / F.col("co") + 1 / F.col("ci")).alias("p"))
+    total = raw.agg(F.sum("p").alias("total"))  # one row
+    odds = raw.crossJoin(F.broadcast(total)).select("src", "dst", F.least(F.col("p") / F.col("total") * budget, F.lit(1.0)).alias("q"))
+    kept = odds.where(draw(F.col("src"), F.col("dst"), seed) < F.floor(F.col("q") * 1_000_033))
+    ends = kept.select(F.col("src").alias("id")).union(kept.select("dst")).distinct()
+    inside = odds.join(ends.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return inside.select("src", "dst", (1 / F.col("q")).alias("norm"))
+
+
 def with_replacement(edges: DataFrame, seeds: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
     """The seeds' columns, pick and neighbour: k draws from each seed's distinct out-neighbours. Sinks draw nothing.
 

@@ -32,10 +32,19 @@ def _(spark, sf):
     return long_form(S.random_walks(V.session_edges(spark, sf), V.nodes(spark, sf).select("id"), 3, 8), "walk", ("start",))
 
 
-for _name, _seeds in (("sample_fanout", 1000), ("minibatch_fanout_layer", 5)):
-    @query(_name, f"{EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {draw_sql('src', 'dst', 7)}, src) AS k FROM e JOIN n ON n.id = e.dst AND n.x0 <= {_seeds}) SELECT src, dst FROM r WHERE k <= 5")
-    def _(spark, sf, seeds=_seeds):
-        return S.fan_out(V.session_edges(spark, sf), V.nodes(spark, sf).where(F.get("x", 0) <= seeds), 5, 7)
+@query("sample_fanout", f"{EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {draw_sql('src', 'dst', 7)}, src) AS k FROM e JOIN n ON n.id = e.dst) SELECT src, dst FROM r WHERE k <= 5")
+def _(spark, sf):
+    return S.fan_out(V.session_edges(spark, sf), V.nodes(spark, sf), 5, 7)
+
+
+_FAN = lambda name, seeds, k, s: f"{name} AS (SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.dst ORDER BY {draw_sql('e.src', 'e.dst', s)}, e.src) AS k FROM e JOIN {seeds} z ON z.id = e.dst) WHERE k <= {k})"
+
+
+@query("minibatch_fanout", f"{EDGES}, b AS (SELECT id FROM n WHERE id % 10 = 3), {_FAN('l1', 'b', 4, 7)}, v1 AS (SELECT id FROM b UNION SELECT src FROM l1), {_FAN('l2', 'v1', 3, 8)}, v2 AS (SELECT id FROM v1 UNION SELECT src FROM l2), lo AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS local FROM v2), y AS (SELECT 1 AS layer, * FROM l1 UNION ALL SELECT 2, * FROM l2) SELECT CAST(y.layer AS INTEGER) AS layer, a.local AS src, c.local AS dst, round(1 / (sqrt(count(*) OVER (PARTITION BY y.layer, y.src)) * sqrt(count(*) OVER (PARTITION BY y.layer, y.dst))), 6) AS w FROM y JOIN lo a ON a.id = y.src JOIN lo c ON c.id = y.dst")
+def _(spark, sf):
+    """A batch (a tenth of the nodes), two layers of sampled senders, ids of the batch's own, and weights of each layer."""
+    n = V.nodes(spark, sf)
+    return S.layered_batch(V.session_edges(spark, sf), n.where("id % 10 = 3").select("id"), [(4, 7), (3, 8)]).select("layer", "src", "dst", r6("w").alias("w"))
 
 
 @query("neighbor_loader_two_layers", f"{_RANK}, l1 AS (SELECT n.id, CAST(k AS INTEGER) AS pick FROM n, unnest(range(2)) t(k)), s1 AS (SELECT l1.id AS target, rk.dst AS source FROM l1 JOIN rk ON rk.src = l1.id AND rk.place = {draw_sql('l1.id', 'l1.pick', 3)} % rk.size), u AS (SELECT DISTINCT source AS id FROM s1), l2 AS (SELECT u.id, CAST(k AS INTEGER) AS pick FROM u, unnest(range(2)) t(k)), s2 AS (SELECT l2.id AS target, rk.dst AS source FROM l2 JOIN rk ON rk.src = l2.id AND rk.place = {draw_sql('l2.id', 'l2.pick', 4)} % rk.size) SELECT DISTINCT target, source FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2)")
@@ -53,11 +62,28 @@ def _(spark, sf):
     return V.session_edges(spark, sf).join(s, "src").join(d, "dst").where("part = p2").select("part", F.col("s").alias("src"), F.col("d").alias("dst"), "w")
 
 
-for _name in ("cluster_loader", "graphsaint_loader", "metis_like_partition"):
-    @query(_name)
-    def _(spark, sf):
-        e, n = V.session_edges(spark, sf), V.nodes(spark, sf)
-        return B.label_propagation_parts(e, n, 4, 2)
+@query("metis_like_partition")
+def _(spark, sf):
+    return B.label_propagation_parts(V.session_edges(spark, sf), V.nodes(spark, sf), 4, 2)
+
+
+_SPLITS = f"{EDGES}, pt AS (SELECT id, CAST({draw_sql('id % 16', '3', 13)} % 4 AS BIGINT) AS batch FROM n), lo AS (SELECT id, batch, row_number() OVER (PARTITION BY batch ORDER BY id) - 1 AS local FROM pt)"
+
+
+@query("cluster_loader", f"{_SPLITS} SELECT a.batch, a.id AS src_id, b.id AS dst_id, a.local AS src, b.local AS dst, e.w FROM e JOIN lo a ON a.id = e.src JOIN lo b ON b.id = e.dst AND b.batch = a.batch")
+def _(spark, sf):
+    """16 small parts (here by id; any (id, part) table serves) are merged into 4 batches by a draw; each batch is the
+    graph that its nodes induce, under ids of its own."""
+    parts = V.nodes(spark, sf).select("id", (F.col("id") % 16).alias("part"))
+    return B.merged_parts(V.session_edges(spark, sf), parts, 4, 13)
+
+
+@query("graphsaint_loader", f"{EDGES}, dg AS (SELECT dst, count(*) AS c FROM e GROUP BY dst), dr AS (SELECT e.src, e.dst, e.w, 1.0 / so.c + 1.0 / si.c AS p FROM e JOIN (SELECT src, count(*) AS c FROM e GROUP BY src) so ON so.src = e.src JOIN dg si ON si.dst = e.dst), z AS (SELECT sum(p) AS total FROM dr), k AS (SELECT src, dst, least(p / total * 2000, 1.0) AS q FROM dr, z), s AS (SELECT src, dst FROM k WHERE {draw_sql('src', 'dst', 19)} < floor(q * 1000033)), v AS (SELECT src AS id FROM s UNION SELECT dst FROM s) SELECT e.src, e.dst, round(1 / k.q, 5) AS norm FROM e JOIN v a ON a.id = e.src JOIN v b ON b.id = e.dst JOIN k ON k.src = e.src AND k.dst = e.dst")
+def _(spark, sf):
+    """The edge sampler: edges are drawn with odds 1/deg(src) + 1/deg(dst), about 2,000 of them; the batch is the graph
+    that their ends induce, each edge with the inverse of its odds."""
+    out = S.saint_edges(V.session_edges(spark, sf), 2000, 19)
+    return out.select("src", "dst", F.round("norm", 5).alias("norm"))
 
 
 @query("node2vec_transitions", f"{EDGES}, s AS (SELECT src, dst FROM e), t AS (SELECT a.src AS prev, a.dst AS cur, b.dst AS next, CASE WHEN b.dst = a.src THEN 2.0 WHEN c.src IS NOT NULL THEN 1.0 ELSE 0.5 END AS w FROM s a JOIN s b ON b.src = a.dst LEFT JOIN s c ON c.src = a.src AND c.dst = b.dst) SELECT prev, cur, next, round(w / sum(w) OVER (PARTITION BY prev, cur), 6) AS prob FROM t")
@@ -186,8 +212,7 @@ def _small(spark, sf):
     return r.select(F.col("l_suppkey").alias("gid"), (F.col("l_partkey") % 30).alias("src"), (F.col("l_orderkey") % 31).alias("dst")).distinct()
 
 
-# This SQL stops after four steps; the queries go on until no pair is new, so they have the rows of longer paths too.
-_PATHS = f"WITH RECURSIVE {_SMALL}, d0 AS (SELECT gid, src AS s FROM g UNION SELECT gid, dst FROM g), r AS (SELECT gid, s, s AS t, 0 AS dist FROM d0 UNION SELECT r.gid, r.s, g.dst, r.dist + 1 FROM r JOIN g ON g.gid = r.gid AND g.src = r.t WHERE r.dist < 4), sp AS (SELECT gid, s, t, CAST(min(dist) AS INTEGER) AS dist FROM r GROUP BY gid, s, t)"
+_PATHS = f"WITH RECURSIVE {_SMALL}, d0 AS (SELECT gid, src AS s FROM g UNION SELECT gid, dst FROM g), sz AS (SELECT gid, count(*) AS c FROM d0 GROUP BY gid), r AS (SELECT gid, s, s AS t, 0 AS dist FROM d0 UNION SELECT r.gid, r.s, g.dst, r.dist + 1 FROM r JOIN g ON g.gid = r.gid AND g.src = r.t JOIN sz ON sz.gid = r.gid WHERE r.dist < sz.c - 1), sp AS (SELECT gid, s, t, CAST(min(dist) AS INTEGER) AS dist FROM r GROUP BY gid, s, t)"
 
 
 @query("all_pairs_shortest_paths", f"{_PATHS} SELECT gid, s, t, dist FROM sp")
