@@ -16,7 +16,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     links = links.select("a", "b")
     both = runtime.fitted(runtime.checkpoint(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
-    parts = both.rdd.getNumPartitions()
+    parts = max(1, both.rdd.getNumPartitions())
     roots = runtime.checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")).coalesce(parts))
     for _ in range(most_rounds):
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").coalesce(parts).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))

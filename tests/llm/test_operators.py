@@ -498,3 +498,32 @@ def test_aligning_does_not_depend_on_order():
     own = [html._generalised(r := html.parse(p), html._mark(r)) for p in pages]
     keyed = [(hash(repr(html.structure(w))), w) for w in own]
     assert html.aligned(keyed) == html.aligned(keyed[::-1]) == html.aligned([(k, html.aligned([(k, w)])) for k, w in sorted(keyed, key=lambda x: repr(x[1]))])
+
+
+def test_deep_and_unclosed_markup_is_read():
+    import time
+
+    began = time.time()
+    deep = "<article>" + "<div>" * 10_000 + "<p>At the bottom.</p>" + "</div>" * 10_000 + "<p>After.</p></article>"
+    assert html.extract(deep, {}).split("\n") == ["At the bottom.", "After."]
+    many = "<article><p>" + "a < b " * 50_000 + "</p></article>"
+    assert html.extract(many, {}) == ("a < b " * 50_000).strip()
+    assert html.extract("<article><p>" + "x <a " * 50_000, {}).count("x") == 50_000
+    html._generalised(html.parse(deep))
+    assert time.time() - began < 20
+
+
+def test_many_near_copies_and_a_passage_in_every_text(spark):
+    """Edited copies on both sides of the threshold, and one passage that makes up much of every text."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    passage, base = [word() for _ in range(40)], [word() for _ in range(60)]
+    texts = []
+    for k in range(700):
+        w = list(base)
+        for at in r.choice(60, k % 5, replace=False):
+            w[at] = word()
+        texts.append(" ".join(passage + w))
+    texts += [" ".join(passage + [word() for _ in range(int(n))]) for n in r.integers(0, 30, 200)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join(rows(spark, texts)).collect()}
+    assert got == brute_classes({i + 1: t for i, t in enumerate(texts)})

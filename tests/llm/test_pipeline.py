@@ -4,7 +4,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_operators import brute_classes
 
-from arcloom.llm import decontaminate, packing, queries, resampling, runtime, toxicity
+from tests.llm.test_operators import awkward, nothing
+
+from arcloom.llm import decontaminate, jaccard_join, packing, queries, resampling, runtime, toxicity
 
 
 def test_names():
@@ -43,3 +45,24 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and {"doc_id", "sequence_id", "offset"} <= {*out[0].asDict()}
     assert packing.pack(runtime.table(spark, sf, "documents").limit(0), corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns that differ from others by case alone."""
+    labels, bench = runtime.table(spark, sf, "labels"), runtime.table(spark, sf, "benchmark")
+    docs = runtime.table(spark, sf, "documents")
+    net, model = toxicity.fit(docs, labels), resampling.fit(docs, labels)
+    odd = awkward(spark)
+    odd = odd.unionAll(odd.where("doc_id = 6").selectExpr("doc_id", "'another text of the same id'", "lang", "source", "n_chars", "n_tokens", "score", "host"))
+    odd = odd.toDF("doc_id", "text", "lang", "source", "n_chars", "DOC_ID", "TEXT", "component_id")
+    place = lambda df: sorted(((r[0] is None, r[0] or 0, r[1] or "") for r in df.collect()))
+    for stage in (lambda d: toxicity.clean(d, net), lambda d: resampling.selected(d, model), jaccard_join.one_of_each, lambda d: decontaminate.clean(d, bench)):
+        out = stage(odd)
+        assert out.columns == odd.columns and {*place(out)} <= {*place(odd)}
+        assert stage(odd.limit(0)).count() == 0
+    one = place(jaccard_join.one_of_each(odd))
+    assert (False, 6, "another text of the same id") in one and (False, 6, "one two") in one and (False, 7, "one two") not in one
+    assert sum(x[1] == 4 for x in one) == 1 and (True, 0, "null id here") in one
+    assert sum(not x[2].strip() for x in one) == sum(not x[2].strip() for x in place(odd))
+    assert place(decontaminate.clean(odd, bench.limit(0))) == place(odd)
+    assert decontaminate.matches(nothing(spark), bench.limit(0)).count() == 0
