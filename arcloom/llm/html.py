@@ -50,7 +50,7 @@ Node = list  # [symbol, tag, children]; a child is a Node or a str
 def parse(page: str) -> Node:
     """The page's tree. Wrong nesting is mended: an end tag closes what is open inside it, or nothing."""
     root: Node = ["#", "#", []]
-    stack = [root]
+    stack, still = [root], {}  # open elements, and how many of each name
     at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         if at > last:  # no tag can end here any more
@@ -68,16 +68,17 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1) or m.group(4):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    del stack[k:]
-                    break
+            if still.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][1] == tag:
+                        _cut(stack, k, still)
+                        break
             continue
         attributes = m.group(3) or m.group(6) or ""
         if tag in _ENDS_P:
-            _close(stack, {"p"}, _SCOPE["p"])
+            _close(stack, {"p"}, _SCOPE["p"], still)
         if tag in _ALONE:
-            _close(stack, _ALONE[tag], _SCOPE[tag])
+            _close(stack, _ALONE[tag], _SCOPE[tag], still)
         symbol = tag
         if attributes and "=" in attributes:
             named = [" ".join(sorted(set(re.sub(r"\d+", "", next(g for g in x.groups()[1:] if g is not None)).lower().split()))) for x in _NAMED.finditer(attributes)]
@@ -94,13 +95,22 @@ def parse(page: str) -> Node:
                 continue
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            still[tag] = still.get(tag, 0) + 1
     return root
 
 
-def _close(stack: list[Node], names: set[str], scope: set[str]) -> None:
+def _cut(stack: list[Node], k: int, still: dict[str, int]) -> None:
+    for x in stack[k:]:
+        still[x[1]] -= 1
+    del stack[k:]
+
+
+def _close(stack: list[Node], names: set[str], scope: set[str], still: dict[str, int]) -> None:
+    if not any(still.get(x) for x in names):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k][1] in names:
-            del stack[k:]
+            _cut(stack, k, still)
             return
         if stack[k][1] in scope:
             return
