@@ -1,4 +1,4 @@
-"""Queries whose SQL says less than the whole job, against brute force."""
+"""Queries over whole graphs, samplers and memories against brute force."""
 
 from collections import defaultdict
 
@@ -75,3 +75,27 @@ def test_vocabulary_has_every_symbol(spark, tmp_path):
     assert len(want) > 500
     got = catalog.QUERIES["walk_corpus_vocabulary"](spark, str(tmp_path)).select("symbol", "cnt", "idx").collect()
     assert sorted(map(tuple, got), key=lambda x: x[2]) == want
+
+
+def test_negatives_are_whole_for_users_of_many_items(spark):
+    from arcloom.operators import sampling
+
+    items = spark.range(1, 41).withColumnRenamed("id", "item_id")
+    have = [(1, i) for i in range(1, 38)] + [(2, 5)] + [(3, i) for i in range(1, 41)]
+    own = {u: {i for v, i in have if v == u} for u in (1, 2, 3)}
+    got = sampling.negatives(spark.createDataFrame(have, "user_id long, item_id long"), items, 4, 6).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["user_id"], r["item_id"]].append(r["neg"])
+    assert all(not own[u] & {*n} and len({*n}) == len(n) for (u, _), n in by.items())
+    assert all(len(by[1, i]) == 3 for i in own[1]) and len(by[2, 5]) == 4 and not any(u == 3 for u, _ in by)
+
+
+def test_missing_pairs_end_where_there_are_no_more(spark):
+    from arcloom.operators import sampling
+
+    edges = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if (a + b) % 3], "src long, dst long")
+    left = {(a, b) for a in range(5) for b in range(5) if a != b and (a + b) % 3 == 0}
+    got = [tuple(r) for r in sampling.missing_pairs(edges, spark.range(5), 1000, 31).collect()]
+    assert sorted(got) == sorted(left)
+    assert len(sampling.missing_pairs(edges, spark.range(5), 3, 31).collect()) == 3
