@@ -61,6 +61,32 @@ def spmm(nodes: DataFrame, edges: DataFrame, width: int, transpose: bool = True)
     return propagate(nodes, edges, width, flow="source_to_target" if transpose else "target_to_source")
 
 
+def spmm_compressed(nodes: DataFrame, layout: DataFrame, width: int) -> DataFrame:
+    """The same from a compressed layout (id, place, other, w): each row's run of places is summed."""
+    own = layout.join(nodes.select(F.col("id").alias("other"), F.col("x").alias("x_j")), "other")
+    out = own.groupBy("id").agg(sum_vectors(scaled(F.col("x_j"), F.col("w")), width).alias("x"))
+    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("x", zeros(width)).alias("x"))
+
+
+def spmm_blocks(nodes: DataFrame, edges: DataFrame, width: int, blocks: int) -> DataFrame:
+    """The same from blocks: each block of senders gives a partial product, and the partial products are added up. A
+    receiver of very many senders is summed in `blocks` tasks first."""
+    sent = nodes.select(F.col("id").alias("src"), F.col("x").alias("x_j"))
+    j = edges.join(sent, "src").select("dst", F.pmod(F.col("src"), F.lit(blocks)).alias("block"), scaled(F.col("x_j"), F.col("w")).alias("m"))
+    partial = j.groupBy("dst", "block").agg(sum_vectors("m", width).alias("m"))
+    out = partial.groupBy(F.col("dst").alias("id")).agg(sum_vectors("m", width).alias("x"))
+    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("x", zeros(width)).alias("x"))
+
+
+def four_steps(nodes: DataFrame, edges: DataFrame, width: int, on_edge: Callable[[Column, Column], Column], on_vertex: Callable[[Column], Column], end: str = "src") -> DataFrame:
+    """Scatter one end's x to the edges, on_edge(x, w) there, sum to the other end, on_vertex(sum) there."""
+    other = "dst" if end == "src" else "src"
+    carried = edges.join(nodes.select(F.col("id").alias(end), "x"), end)
+    formed = carried.select(F.col(other).alias("id"), on_edge(F.col("x"), F.col("w")).alias("m"))
+    summed = formed.groupBy("id").agg(sum_vectors("m", width).alias("x"))
+    return nodes.select("id").join(summed, "id", "left").select("id", on_vertex(F.coalesce("x", zeros(width))).alias("x"))
+
+
 def gcn_norm(edges: DataFrame, nodes: DataFrame, fill: float = 1.0, loops: bool = True) -> DataFrame:
     """deg(src)^-1/2 * w * deg(dst)^-1/2 with degrees by destination; 0 where a degree is 0."""
     e = E.add_remaining_self_loops(edges, nodes, fill) if loops else edges.select("src", "dst", "w")
@@ -107,6 +133,19 @@ def gcn_conv(nodes, edges, weights, bias=None):
     return mapped(out, lambda x: added(x, F.array(*[F.lit(float(v)) for v in (bias or [0.0] * w)])))
 
 
+def gcn_conv_columns(nodes, edges, weights, bias, parts: int):
+    """The same with the columns of X W split into `parts`, each propagated for itself, as where they are too many for
+    one row; the adjacency is written once."""
+    a, w = durable(gcn_norm(edges, nodes)), len(weights[0])
+    cuts = [w * k // parts for k in range(parts + 1)]
+    whole = nodes.select("id")
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if hi > lo:
+            own = propagate(mapped(nodes, lambda x, lo=lo, hi=hi: linear(x, [row[lo:hi] for row in weights])), a, hi - lo)
+            whole = whole.join(own.select("id", F.col("x").alias(f"x{k}")), "id")
+    return whole.select("id", added(F.concat(*[c for c in whole.columns if c != "id"]), F.array(*[F.lit(float(v)) for v in bias])).alias("x"))
+
+
 def hops(nodes: DataFrame, adjacency: DataFrame, k: int, width: int) -> list[DataFrame]:
     """[X, AX, ..., A^k X]. The adjacency is made and written once, and each step too where others build on it."""
     out = [nodes.select("id", "x")]

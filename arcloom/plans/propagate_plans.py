@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arcloom.functions.portable import dot, linear, long_form, r6, relu
+from arcloom.functions.portable import dot, linear, long_form, r6, relu, scaled
 from arcloom.operators import edges as E
 from arcloom.operators import propagate as P
 from arcloom.operators import sparse as S
@@ -40,13 +40,31 @@ def _(spark, sf):
 
 
 _SPMM = f"{BASE}, {step('h', 'e', 'f')} {final('h')}"
-for _name in ("aggregate_with_weight", "spmm_csr", "spmm_coo", "dist_spmm", "message_passing_add", "lightgcn_conv_raw", "propagate_nts"):
+for _name in ("aggregate_with_weight", "spmm_coo", "message_passing_add"):
     @query(_name, _SPMM)
     def _(spark, sf):
         n, e = _g(spark, sf)
         return _out(P.spmm(n, e, 2))
 
 
+@query("spmm_csr", _SPMM)
+def _(spark, sf):
+    n, e = _g(spark, sf)
+    return _out(P.spmm_compressed(n, S.compressed(e, n, "dst", "src"), 2))
+
+
+@query("dist_spmm", _SPMM)
+def _(spark, sf):
+    n, e = _g(spark, sf)
+    return _out(P.spmm_blocks(n, e, 2, 4))
+
+
+@query("propagate_nts", f"{BASE}, h0 AS (SELECT n.id, p.pos, coalesce(sum(e.w * x.v), 0) AS v FROM n CROSS JOIN {T.PLACES} LEFT JOIN e ON e.dst = n.id LEFT JOIN f x ON x.id = e.src AND x.pos = p.pos GROUP BY n.id, p.pos), h AS (SELECT id, pos, greatest(v - 20, 0) AS v FROM h0) {final('h')}")
+def _(spark, sf):
+    n, e = _g(spark, sf)
+    return _out(P.four_steps(n, e, 2, scaled, lambda x: relu(F.transform(x, lambda v: v - 20))))
+
+
 @query("spmm_transpose", f"{BASE}, t AS (SELECT dst AS src, src AS dst, w FROM e), {step('h', 't', 'f')} {final('h')}")
 def _(spark, sf):
     n, e = _g(spark, sf)
@@ -144,13 +162,20 @@ def _(spark, sf):
     return P.cluster_norm(e, n, 0.5).select("src", "dst", r6("w").alias("w"))
 
 
-for _name in ("gcn_conv", "gcn_acl_conv", "tensor_parallel_gcn"):
-    @query(_name, f"{BASE}, {GCN}, {T.linear('xw', 'f', W1)}, {step('h', 'a', 'xw')}, o AS (SELECT id, pos, v + CASE pos WHEN 0 THEN 0.1 ELSE -0.2 END AS v FROM h) {final('o')}")
+_GCN_CONV = f"{BASE}, {GCN}, {T.linear('xw', 'f', W1)}, {step('h', 'a', 'xw')}, o AS (SELECT id, pos, v + CASE pos WHEN 0 THEN 0.1 ELSE -0.2 END AS v FROM h) {final('o')}"
+for _name in ("gcn_conv", "gcn_acl_conv"):
+    @query(_name, _GCN_CONV)
     def _(spark, sf):
         n, e = _g(spark, sf)
         return _out(P.gcn_conv(n, e, W1, [0.1, -0.2]))
 
 
+@query("tensor_parallel_gcn", _GCN_CONV)
+def _(spark, sf):
+    n, e = _g(spark, sf)
+    return _out(P.gcn_conv_columns(n, e, W1, [0.1, -0.2], 2))
+
+
 @query("sg_conv", f"{BASE}, {GCN}, {step('h1', 'a', 'f')}, {step('h2', 'a', 'h1')}, {T.linear('o', 'h2', W1, [0.1, -0.2])} {final('o')}")
 def _(spark, sf):
     n, e = _g(spark, sf)

@@ -203,13 +203,14 @@ def _(spark, sf):
 
 
 # ---- graph transformers ----------------------------------------------------------------------------------------------------
-_SMALL = "g AS (SELECT DISTINCT l_suppkey AS gid, l_partkey % 30 AS src, l_orderkey % 31 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_partkey % 30 <> l_orderkey % 31)"
+_SMALL = "l AS (SELECT l_orderkey AS gid, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem), g AS (SELECT gid, src, dst FROM l WHERE src <> dst UNION SELECT gid, dst, src FROM l WHERE src <> dst)"
 
 
 def _small(spark, sf):
-    """A graph for each supplier: an edge for each returned first line item."""
-    r = V.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1 AND l_partkey % 30 <> l_orderkey % 31")
-    return r.select(F.col("l_suppkey").alias("gid"), (F.col("l_partkey") % 30).alias("src"), (F.col("l_orderkey") % 31).alias("dst")).distinct()
+    """A graph for each order: its parts, each joined both ways to that of the next line."""
+    w = Window.partitionBy("l_orderkey").orderBy(*V.LINE_ORDER)
+    lines = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("gid"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("src <> dst")
+    return lines.unionAll(lines.select("gid", "dst", "src")).distinct()
 
 
 _PATHS = f"WITH RECURSIVE {_SMALL}, d0 AS (SELECT gid, src AS s FROM g UNION SELECT gid, dst FROM g), sz AS (SELECT gid, count(*) AS c FROM d0 GROUP BY gid), r AS (SELECT gid, s, s AS t, 0 AS dist FROM d0 UNION SELECT r.gid, r.s, g.dst, r.dist + 1 FROM r JOIN g ON g.gid = r.gid AND g.src = r.t JOIN sz ON sz.gid = r.gid WHERE r.dist < sz.c - 1), sp AS (SELECT gid, s, t, CAST(min(dist) AS INTEGER) AS dist FROM r GROUP BY gid, s, t)"
