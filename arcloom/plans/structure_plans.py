@@ -236,17 +236,8 @@ def _(spark, sf):
 
 @query("edge_encoding", f"{_PATHS}, pa AS (SELECT sp.gid, sp.s, sp.t, sp.dist, min(b.t) AS parent FROM sp JOIN sp b ON b.gid = sp.gid AND b.s = sp.s AND b.dist = sp.dist - 1 JOIN g ON g.gid = sp.gid AND g.src = b.t AND g.dst = sp.t GROUP BY sp.gid, sp.s, sp.t, sp.dist), w AS (SELECT gid, s, t, dist, CAST((parent * 3 + t) % 5 AS DOUBLE) AS c, parent, 1 AS k FROM pa UNION ALL SELECT w.gid, w.s, w.t, w.dist, w.c + CAST((p.parent * 3 + p.t) % 5 AS DOUBLE), p.parent, w.k + 1 FROM w JOIN pa p ON p.gid = w.gid AND p.s = w.s AND p.t = w.parent) SELECT gid, s, t, round(max(c) FILTER (WHERE k = dist) / dist, 6) AS c FROM w GROUP BY gid, s, t, dist")
 def _(spark, sf):
-    p = B.shortest_paths(_small(spark, sf))
-    cost = lambda a, b: ((F.col(a) * 3 + F.col(b)) % 5).cast("double")
-    p = p.where("dist > 0")
-    walk = p.select("gid", "s", "t", "dist", cost("parent", "t").alias("c"), F.col("parent").alias("at"))
-    out = walk.where("dist = 1")
-    longest = p.agg(F.max("dist")).first()[0] or 1
-    link = p.select("gid", "s", F.col("t").alias("at"), F.col("parent").alias("up"), cost("parent", "t").alias("more"))
-    for d in range(2, longest + 1):
-        walk = walk.where(F.col("dist") >= d).join(link, ["gid", "s", "at"]).select("gid", "s", "t", "dist", (F.col("c") + F.col("more")).alias("c"), F.col("up").alias("at"))
-        out = out.unionAll(walk.where(F.col("dist") == d))
-    return out.select("gid", "s", "t", r6(F.col("c") / F.col("dist")).alias("c"))
+    p = B.shortest_paths(_small(spark, sf), lambda a, b: (a * 3 + b) % 5).where("dist > 0")
+    return p.select("gid", "s", "t", r6(F.col("c") / F.col("dist")).alias("c"))
 
 
 @query("block_attention", f"WITH {_SMALL}, v AS (SELECT gid, src AS id FROM g UNION SELECT gid, dst FROM g), s AS (SELECT a.gid, a.id AS i, b.id AS j, (a.id * b.id) % 7 / 7.0 AS sc FROM v a JOIN v b ON b.gid = a.gid) SELECT gid, i, j, round(exp(sc) / sum(exp(sc)) OVER (PARTITION BY gid, i), 6) AS alpha FROM s")
