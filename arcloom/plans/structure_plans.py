@@ -303,7 +303,11 @@ def _(spark, sf):
     return t.select("gid", "k", "j", "i", F.round(G.angle(rel("k"), rel("i")), 5).alias("angle"))
 
 
-@query("torsion_angles")
+_CROSS = lambda u, v: [f"({u}y*{v}z-{u}z*{v}y)", f"({u}z*{v}x-{u}x*{v}z)", f"({u}x*{v}y-{u}y*{v}x)"]
+_TOR = f"{_TRI.replace(' AS (', ' AS MATERIALIZED (')}, q AS MATERIALIZED (SELECT t.gid, t.k, t.j, t.i, m.i AS l FROM tr t JOIN tr m ON m.gid = t.gid AND m.k = t.j AND m.j = t.i AND m.i <> t.k), v AS (SELECT q.*, " + ", ".join(f"{b}.{c}-{a}.{c} AS {n}{c}" for n, a, b in (("f", "pk", "pj"), ("g", "pj", "pi_"), ("h", "pi_", "pl")) for c in "xyz") + " FROM q " + " ".join(f"JOIN pt {a} ON {a}.gid = q.gid AND {a}.id = q.{c}" for a, c in (("pk", "k"), ("pj", "j"), ("pi_", "i"), ("pl", "l"))) + "), w AS (SELECT *, " + ", ".join(f"{e} AS {n}{c}" for n, u, v in (("p", "f", "g"), ("q", "g", "h")) for c, e in zip("xyz", _CROSS(u, v), strict=True)) + " FROM v), t AS (SELECT gid, k, j, i, l, atan2((" + " + ".join(f"{e}*g{c}" for c, e in zip("xyz", _CROSS("p", "q"), strict=True)) + ") / sqrt(gx*gx + gy*gy + gz*gz), px*qx + py*qy + pz*qz) AS t FROM w)"
+
+
+@query("torsion_angles", f"{_TOR} SELECT gid, k, j, i, l, round(CASE WHEN t < 0 THEN t + 6.283185307179586 ELSE t END, 5) AS torsion FROM t")
 def _(spark, sf):
     p = _points(spark, sf)
     t = _triplets(spark, sf)
