@@ -99,3 +99,28 @@ def test_missing_pairs_end_where_there_are_no_more(spark):
     got = [tuple(r) for r in sampling.missing_pairs(edges, spark.range(5), 1000, 31).collect()]
     assert sorted(got) == sorted(left)
     assert len(sampling.missing_pairs(edges, spark.range(5), 3, 31).collect()) == 3
+
+
+def test_paths_of_branching_graphs(spark):
+    import random
+
+    from arcloom.operators.batching import shortest_paths
+
+    rng = random.Random(5)
+    edges = {(g, rng.randrange(14), rng.randrange(14)) for g in range(6) for _ in range(22)}
+    want = {}
+    for g in range(6):
+        nodes = {x for e in edges if e[0] == g for x in e[1:]}
+        for s in nodes:
+            found, level, d = {s: (0, None, 0.0)}, [s], 0
+            while level:
+                d += 1
+                fresh = {v for u in level for h, a, v in edges if h == g and a == u and v not in found}
+                parent = {v: min(u for u in level if (g, u, v) in edges) for v in fresh}
+                found |= {v: (d, u, found[u][2] + (u * 3 + v) % 5) for v, u in parent.items()}
+                level = list(fresh)
+            want |= {(g, s, t): r for t, r in found.items()}
+    rows = shortest_paths(spark.createDataFrame(sorted(edges) * 2, "gid long, src long, dst long"), lambda a, b: (a * 3 + b) % 5).collect()
+    assert len(rows) == len(want) and {(r["gid"], r["s"], r["t"]): (r["dist"], r["parent"], r["c"]) for r in rows} == want
+    assert max(r[0] for r in want.values()) > 3
+    assert shortest_paths(spark.createDataFrame([], "gid long, src long, dst long")).count() == 0
