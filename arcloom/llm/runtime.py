@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,28 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Gives native memory that the driver's Java process has freed back to the system. Each exchange of a plan has a
+    thread of its own there, and what such threads have freed stays in their own pools. A Java that can't do it does
+    nothing."""
+    sc = spark.sparkContext
+    jvm, array = sc._jvm, lambda kind, *v: _array(sc, kind, v)
+    java = jvm.java.lang
+    with contextlib.suppress(Py4JError):  # by reflection on the interface, as the server's own class is closed to calls
+        kinds = [java.Class.forName(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = java.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(java.Class, *kinds))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, command, "systemTrimNativeHeap", array(java.Object), array(java.String)))
+
+
+def _array(sc, kind, values: tuple):
+    """A Java array of these values."""
+    out = sc._gateway.new_array(kind, len(values))
+    for k, v in enumerate(values):
+        out[k] = v
+    return out
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The columns `names` alone, found by exact name; others, clashing ones included, are left behind."""
     small_batches(df.sparkSession)
@@ -65,7 +88,9 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that every executor can read."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    trim_driver(df.sparkSession)
+    return done
 
 
 #: Rows of a checkpoint's partition, about, and the fewest partitions.

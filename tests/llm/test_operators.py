@@ -527,3 +527,27 @@ def test_many_near_copies_and_a_passage_in_every_text(spark):
     texts += [" ".join(passage + [word() for _ in range(int(n))]) for n in r.integers(0, 30, 200)]
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join(rows(spark, texts)).collect()}
     assert got == brute_classes({i + 1: t for i, t in enumerate(texts)})
+
+
+def test_trim_driver_reaches_the_command(spark, monkeypatch):
+    """The call goes through where Java has the command, and is passed over where it has not."""
+    import contextlib
+
+    from py4j.protocol import Py4JError
+
+    from arcloom.llm import runtime
+
+    runtime.trim_driver(spark)
+    told = []
+
+    @contextlib.contextmanager
+    def heard(*kinds):
+        assert kinds == (Py4JError,)
+        try:
+            yield
+        except Py4JError as e:
+            told.append("ReflectionException" in str(e) or "systemTrimNativeHeap" in str(e))
+
+    monkeypatch.setattr(runtime.contextlib, "suppress", heard)
+    runtime.trim_driver(spark)
+    assert all(told)
