@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: Words remembered by one Python worker before it starts anew, and the longest that is remembered.
+#: Words remembered by one Python worker before it drops those that did not come again, and the longest that is remembered.
 REMEMBER, REMEMBER_CHARS = 400_000, 48
+#: Marks that may end a word of letters (the apostrophe is not among them, as the tokenizer cuts by what follows it).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder(dict):
@@ -45,17 +48,36 @@ class Encoder(dict):
         return all(one(f"{a} {b}") == one(a) + one(b) == one(f" {a}\n {b} ") for a, b in (("ab", "cd"), ("x.", "'s"), ("1", "2"), ("é", "́a")))
 
     def _prepare(self) -> None:
-        """Ids that end a word, and the full stop's and comma's, for words of letters alone."""
+        """What holds for this tokenizer: the ids that end a word, whether it only folds case, whether marks after
+        letters are cut off as they stand, and whether words of ASCII letters reach its model unchanged."""
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.folds = one("ABC Ä É") == one("abc ä é")
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
+        tails = (*MARKS, "###", "$$$", "***,", ".)", "--", "<|")
+        self.marks = MARKS if all(one(w + t) == one(w) + one(t) for w in ("ab", "é") for t in tails) else ""
+        self.tails: dict[str, bytes] = {}
+        words = ("a", "ab", "the", "quelle", "thatreerwheati", "s", "zzzzqx")
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(w)] == one(w) for w in words)
+        self.again: set[str] = set()
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) >= 1000:
+                self.tails.clear()
+            self.tails[marks] = Encoder.__missing__(self, marks)
+        return self.tails[marks]
 
     def learn(self, words: set[str]) -> None:
-        """Many words in one call: each word of letters alone becomes ids of which only the last ends a word."""
-        plain = [w for w in words if w.isalpha()]
+        """Words of ASCII letters go to the model as they are. Others go in one call: each word of letters alone becomes
+        ids of which only the last ends a word."""
+        model = self.tokenizer.model
+        if self.direct:
+            for w in words:
+                if w.isascii() and w.isalpha() and w.islower():
+                    self[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+        plain = [w for w in words if w.isalpha() and w not in self]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
@@ -78,17 +100,22 @@ class Encoder(dict):
         split = [(t if "\u0130" in t or "\u03a3" in t or not self.folds else t.lower()).replace("\n", " ").split(" ") for t in texts]
         seen = set().union(*split)
         fresh = {w for w in seen if w not in self}
+        self.again |= seen - fresh
         if len(self) + len(fresh) > REMEMBER:
+            # most words never come again; those that did are kept, if they leave room for half as many others
+            kept = {w: self[w] for w in self.again} if 2 * len(self.again) <= REMEMBER else {}
             self.clear()
-            fresh = seen
-        marked = [w for w in fresh if w[-1:] in self.marks and w[:-1].isalpha() and "\u0130" not in w]
-        self.learn(fresh.difference(marked).union(w[:-1] for w in marked).difference(self))
-        for w in marked:
-            self[w] = self[w[:-1]] + self.marks[w[-1]]
+            self.update(kept)
+            self.again = set()
+            fresh = {w for w in seen if w not in self}
+        marked = {w: b for w in fresh if w[-1:] in self.marks and (b := w.rstrip(self.marks)).isalpha() and "\u0130" not in w} if self.marks else {}
+        self.learn(fresh.difference(marked).union(marked.values()).difference(self))
+        for w, b in marked.items():
+            self[w] = self[b] + self._tail(w[len(b) :])
         out = [b"".join(map(self.__getitem__, ws)) for ws in split]
-        for w in fresh:
+        for w in fresh.union(marked.values()):
             if len(w) > REMEMBER_CHARS:
-                del self[w]
+                self.pop(w, None)
         return out
 
 

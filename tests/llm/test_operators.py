@@ -406,6 +406,27 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ABab é#$*-<|'_1\u0301 Σİ", max_size=40))
+def test_encoder_equals_the_library_on_marks(text):
+    e = packing.encoder(WORD)
+    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_that_come_again_are_learned_once(monkeypatch):
+    """What is dropped when too many words are remembered are those that did not come again; marks at a word's end make no new word."""
+    monkeypatch.setattr(packing, "REMEMBER", 100)
+    e, learned = packing.Encoder(WORD), []
+    monkeypatch.setattr(packing.Encoder, "learn", lambda self, words, learn=packing.Encoder.learn: (learned.extend(words), learn(self, words)))
+    letters = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05d}")
+    for batch in range(20):
+        text = " ".join(["common", "words###", "éà,", *(letters(100 * batch + k) + "$$$" for k in range(30))])
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(e) <= 100 + 33  # and the letters before the marks of one batch
+    assert sorted(w for w in learned if w in ("common", "words", "éà")) == ["common", "words", "éà"]
+    assert not any("#" in w or "$" in w for w in learned)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=8), st.integers(1, 40))
 def test_fullest_is_the_best_subset(counts, room):
