@@ -44,6 +44,8 @@ PER_BUCKET, FILTER_RATE, FILTER_BITS = 500_000, 16, 1 << 30
 #: Bytes of text whose signatures one packed row may hold; 64-bit words of a set's parity sketch.
 FLUSH_BYTES, SKETCH = 4 << 20, 8
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
+#: Runs by which two sets that meet in many runs agree on the one that pairs them (`_once`).
+FIRSTS = 6
 
 
 @dataclass(frozen=True)
@@ -389,6 +391,19 @@ def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, bands: Bands,
     return both.mapInArrow(compare, "a long, b long, similar boolean")
 
 
+def _once() -> F.Column:
+    """Whether this run is the one in which a and b are paired. `first_a` and `first_b` hold, for each of FIRSTS classes
+    of runs, the least one in which a (b) looks. Where these agree, both are there, and the first such run pairs them; sets
+    that agree nowhere are paired in each run that they share. So no pair is lost, and few are made more than once."""
+    same = [F.when(F.get("first_a", k) == F.get("first_b", k), F.get("first_a", k)) for k in range(FIRSTS)]
+    return F.coalesce(*same, F.col("run")) == F.col("run")
+
+
+def _met(looks: DataFrame, there: DataFrame, fits: F.Column) -> DataFrame:
+    """node_a, node_b: those of `looks` with those of `there` in the same run, of different groups."""
+    return looks.join(there, "run").where((F.col("digest_a") != F.col("digest_b")) & _once() & fits).select("node_a", "node_b")
+
+
 def _second(docs: DataFrame, first: DataFrame, asks: DataFrame, member: DataFrame, info: DataFrame, bands: Bands, width: int) -> DataFrame:
     """a, b: pairs left to verify, of the sets of `member` (run, node, n, root), of which `asks` (run, node) must look.
 
@@ -427,13 +442,21 @@ def _second(docs: DataFrame, first: DataFrame, asks: DataFrame, member: DataFram
     inside = near.where("node != o.node").select("*", F.col("o.node").alias("x"))
     inside = side(inside, "a").join(side(near.select("digest", "p", "o").distinct(), "b", of="o."), (F.col("digest_a") == F.col("digest_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("node_a") != F.col("node_b")))
     pairs = pairs.union(inside.where(fits & common).select("node_a", "node_b"))
-    here = member.select("run", "node").join(near, "node")
-    mixed = here.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("o.root").alias("z"), F.max("o.root").alias("w")).where("least(x, z) != greatest(y, w)").select("run")
-    here = runtime.fitted(runtime.checkpoint(here.join(mixed, "run", "left_semi")))
-    looks = here.join(asks.select("run", "node"), ["run", "node"], "left_semi")
-    group = lambda df, k: side(df.select("run", "digest", "p", "o").distinct(), k, ("run",), "o.")
-    meet = lambda a, b: a.join(b, "run").where(fits & common & (F.col("digest_a") != F.col("digest_b"))).select("node_a", "node_b")
-    pairs = pairs.union(meet(side(looks, "a", ("run",)), group(here, "b"))).union(meet(group(looks, "a"), group(here, "b").union(side(here, "b", ("run",))).distinct()))
+    here = member.select("run", "node").join(near.select("node", "root", "digest", "p", F.col("o.root").alias("o_root")), "node")
+    mixed = here.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("o_root").alias("z"), F.max("o_root").alias("w")).where("least(x, z) != greatest(y, w)").select("run")
+    here = here.join(mixed, "run", "left_semi").join(asks.select("run", "node", F.lit(True).alias("look")), ["run", "node"], "left")
+    here = runtime.fitted(runtime.checkpoint(here.select("run", "node", "digest", "p", "look")))
+    # the least run of each class in which a set looks, and in which any set of a group does
+    least_runs = [F.min(F.when(F.pmod(F.xxhash64("run"), F.lit(FIRSTS)) == k, F.col("run"))).alias(f"r{k}") for k in range(FIRSTS)]
+    runs = [f"r{k}" for k in range(FIRSTS)]
+    own_runs = here.where("look").groupBy("node", "digest", "p").agg(*least_runs)
+    group_runs = own_runs.groupBy("digest", "p").agg(*[F.min(c).alias(c) for c in runs]).select("digest", "p", F.array(*runs).alias("group_first"))
+    near = near.join(own_runs.select("node", F.array(*runs).alias("first")), "node", "left").join(group_runs, ["digest", "p"], "left")
+    here = runtime.fitted(runtime.checkpoint(here.select("run", "node", "look").join(near, "node")))
+    looks = here.where("look")
+    each = lambda df, k: side(df, k, ("run", F.col("first").alias(f"first_{k}")))
+    group = lambda df, k: side(df.select("run", "digest", "p", "o", "group_first").distinct(), k, ("run", F.col("group_first").alias(f"first_{k}")), "o.")
+    pairs = pairs.union(_met(each(looks, "a"), group(here, "b"), fits & common)).union(_met(group(looks, "a"), group(here, "b").union(each(here, "b")).distinct(), fits & common))
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 

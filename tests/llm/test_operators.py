@@ -572,3 +572,23 @@ def test_trim_driver_reaches_the_command(spark, monkeypatch):
     monkeypatch.setattr(runtime.contextlib, "suppress", heard)
     runtime.trim_driver(spark)
     assert all(told)
+
+
+def test_a_pair_that_meets_in_many_runs_is_made_few_times(spark, monkeypatch):
+    """Edited copies around the threshold share most of their costly signatures; each pair of them is made about once."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(200):
+        w = list(base)
+        for at in r.choice(150, 5, replace=False):
+            w[at] = word()
+        texts.append(" ".join(w))
+    made = []
+    met = jaccard_join._met
+    monkeypatch.setattr(jaccard_join, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join(rows(spark, texts)).collect()}
+    assert got == brute_classes({i + 1: t for i, t in enumerate(texts)})
+    assert made
+    for pairs in made:
+        assert 0 < pairs.count() <= 1.5 * pairs.distinct().count()
