@@ -51,6 +51,13 @@ def trim_driver(spark: SparkSession) -> None:
         invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, command, "systemTrimNativeHeap", array(java.Object), array(java.String)))
 
 
+def trim_executors(spark: SparkSession) -> None:
+    """Asks each executor's Java process to collect its garbage now, after which it gives back what of its heap is free.
+    It does not by itself while it has work, so that a heap which one stage has filled stands beside the Python workers
+    of all later ones. A task for each core; where these miss an executor, it stays as it is."""
+    spark.range(0, n := spark.sparkContext.defaultParallelism, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def _array(sc, kind, values: tuple):
     """A Java array of these values."""
     out = sc._gateway.new_array(kind, len(values))

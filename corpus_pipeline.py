@@ -18,26 +18,31 @@ from arcloom.llm import decontaminate, jaccard_join, packing, resampling, runtim
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go."""
+    runtime.trim_executors(spark)
     return toxicity.clean(docs, toxicity.fit(docs, runtime.table(spark, sf_dir, "labels")))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance draw does not select go."""
+    runtime.trim_executors(spark)
     return resampling.selected(docs, resampling.fit(docs, runtime.table(spark, sf_dir, "labels")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document of the smallest id stays."""
+    runtime.trim_executors(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
+    runtime.trim_executors(spark)
     return decontaminate.clean(docs, runtime.table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rest as sequences of at most 2048 tokens."""
+    runtime.trim_executors(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 

@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import pytest
 from tests.llm.test_operators import brute_classes
 
 from tests.llm.test_operators import awkward, nothing
@@ -66,3 +67,22 @@ def test_stages_on_awkward_rows(spark, sf):
     assert sum(not x[2].strip() for x in one) == sum(not x[2].strip() for x in place(odd))
     assert place(decontaminate.clean(odd, bench.limit(0))) == place(odd)
     assert decontaminate.matches(nothing(spark), bench.limit(0)).count() == 0
+
+
+def test_each_stage_first_has_the_executors_collect_their_garbage(spark, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collected = lambda: sum(b.getCollectionCount() for b in beans())
+    before = collected()
+    runtime.trim_executors(spark)
+    assert collected() > before  # the executor of local mode is this Java process
+
+    class Begun(Exception):
+        pass
+
+    def begun(s):
+        raise Begun
+
+    monkeypatch.setattr(runtime, "trim_executors", begun)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
