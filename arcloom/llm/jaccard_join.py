@@ -10,8 +10,8 @@ the set still adds up to more than H. The m of a band is the least for which set
 set that can't is joined again with more segments. A larger set also visits the band below, if its size allows a
 partner there.
 
-Signatures are packed into binary rows, a row for each Arrow batch and bucket, so that a shuffle moves about eight
-bytes for each. Equal sets are one node: a group of copies sends one signature a batch. Pairs that share a signature are
+Signatures are packed into binary rows, a row for each Arrow batch and bucket, so that a shuffle moves five bytes and a
+little for each, and a node and size for each set. Equal sets are one node: a group of copies sends one signature a batch. Pairs that share a signature are
 verified on the whole sets, unless they share fewer segments than similar sets must. Of a costly signature the arms of
 a star are verified first; what then is in one class needs no further pair. Sets of different classes that still meet
 in a signature which one of them could not afford to pass over go through a second, finest partition, in which each
@@ -38,9 +38,12 @@ from . import components, runtime, textvec
 WIDTH, NUM, DEN = 5, 3, 4
 #: A signature of more sets than this is costly; segments of each band whose one-deletion neighbourhoods are indexed.
 COSTLY, SPARE = 8, 2
-#: Signatures of a bucket, about; bits for each document in the filter of those whose sets are looked up again, and the
-#: most bits that are broadcast (beyond, documents are chosen by a join).
-PER_BUCKET, FILTER_RATE, FILTER_BITS = 500_000, 16, 1 << 30
+#: Signatures that are looked at together, about; the parts of a full bucket, which are looked at one by one; buckets
+#: from which on they are filled before there are more.
+PER_BUCKET, PARTS, ENOUGH = 500_000, 4, 64
+#: Bits for each document in the filter of those whose sets are looked up again, and the most bits that are broadcast
+#: (beyond, documents are chosen by a join).
+FILTER_RATE, FILTER_BITS = 16, 1 << 30
 #: Bytes of text whose signatures one packed row may hold; 64-bit words of a set's parity sketch.
 FLUSH_BYTES, SKETCH = 4 << 20, 8
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
@@ -165,21 +168,50 @@ def described(docs: DataFrame, bands: Bands, width: int = WIDTH) -> DataFrame:
 _PACKED = "bucket long, sig binary, own binary, cost binary, node binary, n binary"
 
 
+def _buckets(count: float) -> int:
+    """How many buckets so many signatures go to. A set's node is sent once for each bucket that its signatures fall
+    into, so few full buckets are less to shuffle than many; but each is one task's."""
+    return int(max(8, min(ENOUGH, count // PER_BUCKET), count // (PARTS * PER_BUCKET)))
+
+
 def _packed(sig: np.ndarray, owner: np.ndarray, cost: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: its signatures, the place of each one's set among the row's sets, costs, nodes, sizes."""
-    bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    sig, owner, cost, bucket = sig[order], owner[order], cost[order], bucket[order]
+    """A row for each bucket, in order of its sets: the low 40 bits of signatures; how many are each set's; costs, two
+    bits each; nodes, sizes. Counts and sizes are as wide as the row's largest needs."""
+    bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort((bucket * len(node) + owner) * 4 + cost.astype(np.int64), kind="stable")
+    sig, owner, cost, bucket = sig[order], owner[order], cost[order].astype(np.uint8), bucket[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     rows = []
     for at, end in zip(first, np.append(first[1:], len(bucket)), strict=True):
-        used, local = np.unique(owner[at:end], return_inverse=True)
+        head = np.flatnonzero(np.concatenate([[True], owner[at + 1 : end] != owner[at : end - 1]]))
+        used, count = owner[at:end][head], np.diff(np.append(head, end - at))
         low = sig[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        rows.append((int(bucket[at]), low.tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), cost[at:end].astype(np.int8).tobytes(), node[used].tobytes(), n[used].astype("<i4").tobytes()))
+        four = np.pad(cost[at:end], (0, -(end - at) % 4)).reshape(-1, 4) << np.arange(0, 8, 2, np.uint8)
+        rows.append((int(bucket[at]), low.tobytes(), _narrow(count, "<u1"), np.bitwise_or.reduce(four, axis=1).tobytes(), node[used].tobytes(), _narrow(n[used], "<u2")))
     k, *rest = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(r, pa.binary()) for r in rest)], ["bucket", "sig", "own", "cost", "node", "n"])
 
 
+def _narrow(v: np.ndarray, kind: str) -> bytes:
+    return v.astype(kind if v.max() <= np.iinfo(kind).max else "<u4").tobytes()
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a bucket: signatures, the place of each one's set among all rows' sets, costs; nodes and sizes of these sets."""
+    sig, own, cost, node, n, held = [], [], [], [], [], 0
+    for s, o, c, v, size in zip(*(table[k].to_pylist() for k in ("sig", "own", "cost", "node", "n")), strict=True):
+        raw = np.zeros((len(s) // 5, 8), np.uint8)
+        raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
+        sig.append(raw.view("<u8").ravel())
+        node.append(np.frombuffer(v, np.int64))
+        count = len(node[-1])
+        own.append(np.repeat(np.arange(held, held + count, dtype=np.int32), np.frombuffer(o, "<u1" if len(o) == count else "<u4")))
+        cost.append((np.frombuffer(c, np.uint8)[:, None] >> np.arange(0, 8, 2, np.uint8) & np.uint8(3)).ravel()[: len(raw)].astype(np.int8))
+        n.append(np.frombuffer(size, "<u2" if len(size) == 2 * count else "<u4").astype(np.int64))
+        held += count
+    return tuple(np.concatenate(v) for v in (sig, own, cost, node, n))
+
+
 def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int = WIDTH) -> DataFrame:
     """bucket, sig, own, cost, node, n: the signatures of a batch's sets that fall into one bucket, and those sets."""
     table = bands.table()
@@ -236,25 +268,17 @@ def packed_signatures(docs: DataFrame, bands: Bands, buckets: int, width: int =
 def _runs(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Of a bucket, the signatures that several sets share, each set once for each: node, n, cost, signature, the size of
     its run, and its place there."""
-    sig, node, n, cost = [], [], [], []
-    for r in range(table.num_rows):
-        raw = np.zeros((len(s := table["sig"][r].as_py()) // 5, 8), np.uint8)
-        raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-        nodes = np.frombuffer(table["node"][r].as_py(), np.int64)
-        own = np.frombuffer(table["own"][r].as_py(), "<u4" if len(nodes) > 65535 else "<u2")
-        sig.append(raw.view("<u8").ravel())
-        node.append(nodes[own])
-        n.append(np.frombuffer(table["n"][r].as_py(), "<i4")[own])
-        cost.append(np.frombuffer(table["cost"][r].as_py(), np.int8))
-    sig, node, n, cost = (np.concatenate(v) for v in (sig, node, n, cost))
-    order = np.argsort(sig, kind="stable")
-    s = sig[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(s)))
-    shared = np.repeat(size > 1, size)
-    order, run = order[shared], (np.cumsum(new) - 1)[shared]
-    node, n, cost, sig = node[order], n[order].astype(np.int64), cost[order], sig[order]
+    sig, own, cost, node, n = _unpacked(table)
+    top, kept = sig >> np.uint64(38), []
+    for part in range(PARTS):  # in order of signatures; only what several sets share is kept
+        here = np.flatnonzero(top == part)
+        here = here[np.argsort(sig[here], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], sig[here[1:]] != sig[here[:-1]]])) if len(here) else here
+        size = np.diff(np.append(first, len(here)))
+        kept.append(here[np.repeat(size > 1, size)])
+    order = np.concatenate(kept)
+    cost, sig, node, n = cost[order], sig[order], node[own[order]], n[own[order]]
+    run = np.cumsum(np.concatenate([[False], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     # copies that came from other batches are one
     order = np.lexsort((-cost, node, run))
     node, n, cost, run, sig = node[order], n[order], cost[order], run[order], sig[order]
@@ -416,7 +440,7 @@ def _second(docs: DataFrame, first: DataFrame, asks: DataFrame, member: DataFram
     """
     sets_ = runtime.checkpoint(member.select("node", "n", "root").distinct())
     total = sets_.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(8, total // PER_BUCKET))
+    buckets = _buckets(total)
 
     def emit(x: np.ndarray, of: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
         return _packed(textvec.mix(x + np.uint64(0x3C6EF372FE94F82B)), of, np.zeros(len(x)), node, n, buckets) if len(x) else None
@@ -463,9 +487,10 @@ def _second(docs: DataFrame, first: DataFrame, asks: DataFrame, member: DataFram
 def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, width: int) -> DataFrame:
     """The links (a, b) found with these bands: enough that components are those of all links."""
     total = sets_.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(8, total * 0.8 * bands.factor // PER_BUCKET))
+    buckets = _buckets(total * 0.8 * bands.factor)
     found = packed_signatures(docs, bands, buckets, width).groupBy("bucket").applyInArrow(_collisions(bands), "kind int, a long, b long, na long, nb long, c long, run long")
     found = runtime.fitted(runtime.checkpoint(found))
+    runtime.free_shuffles(docs.sparkSession)
     info = sets_.groupBy("node").agg(F.min("n").alias("n"), F.min("filled").alias("filled"), F.min("spare").alias("spare"), *[F.min(c).alias(c) for c in _SKETCH])
     hot = found.where("kind = 1").select("run", F.col("b").alias("node"), F.col("na").alias("n"), F.col("nb").alias("size"), F.col("c").alias("cost"))
     paid = hot.groupBy("node").agg(F.sum("cost").alias("paid"))
@@ -484,6 +509,7 @@ def _round(docs: DataFrame, sets_: DataFrame, first: DataFrame, bands: Bands, wi
     arms = arms.join(info.select("node", "filled"), "node").where(F.col("shared") * 4 >= F.col("filled")).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b"))
     pairs = runtime.fitted(runtime.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(arms).distinct()))
     seen = runtime.fitted(runtime.checkpoint(verified(docs, first, pairs, bands, width)))
+    runtime.free_shuffles(docs.sparkSession)
     links = seen.where("similar").select("a", "b")
     # a set that can afford it gives its costliest signatures no allowance; in the others it must look
     asks = hot.where("cost > 0").join(info.where("paid > spare").select("node", "spare"), "node")

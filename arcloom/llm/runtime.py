@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,19 @@ def trim_executors(spark: SparkSession) -> None:
     spark.range(0, n := spark.sparkContext.defaultParallelism, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
+#: Seconds after which Java too has let go of what Python no longer refers to: it is told of that once a second.
+RELEASE_S = 1.2
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, after which the files of shuffles that nothing refers to any more are deleted.
+    Else they stay beside those of later steps until its heap happens to fill."""
+    gc.collect()
+    time.sleep(RELEASE_S)
+    spark.range(1)._jdf.queryExecution().toRdd().count()  # Java's listeners hold the last query until they hear of another
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def _array(sc, kind, values: tuple):
     """A Java array of these values."""
     out = sc._gateway.new_array(kind, len(values))
