@@ -578,6 +578,7 @@ def one_of_each(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WI
     best = rows.groupBy("root").agg(F.min("key").alias("key"))
     kept = runtime.fitted(runtime.checkpoint(best.select("key.doc_id", "key.text_hash", "root")))
     repeated = not rows.groupBy("root", "key").count().where("count > 1").isEmpty()
+    runtime.free_shuffles(docs.sparkSession)  # whole rows are dealt out next
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     id_, text = F.col(f"_c{names.index('doc_id')}"), F.col(f"_c{names.index('text')}")

@@ -86,3 +86,14 @@ def test_each_stage_first_has_the_executors_collect_their_garbage(spark, monkeyp
     for _, stage in corpus_pipeline.STAGES:
         with pytest.raises(Begun):
             stage(spark, None, "")
+
+
+def test_near_copies_frees_spent_shuffles_before_whole_rows_are_dealt_out(spark, monkeypatch):
+    told, checkpoint = [], runtime.checkpoint
+    monkeypatch.setattr(runtime, "checkpoint", lambda df: told.append("checkpoint") or checkpoint(df))
+    monkeypatch.setattr(runtime, "free_shuffles", lambda s: told.append("free"))
+    texts = ["one two three four five six seven", "one two three four five six seven", "other words"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert told[-1] == "free"
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
