@@ -124,3 +124,45 @@ def test_paths_of_branching_graphs(spark):
     assert len(rows) == len(want) and {(r["gid"], r["s"], r["t"]): (r["dist"], r["parent"], r["c"]) for r in rows} == want
     assert max(r[0] for r in want.values()) > 3
     assert shortest_paths(spark.createDataFrame([], "gid long, src long, dst long")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """Events of users whose ids pass a million, at 40 hubs and among each other; brute force of what is near."""
+    import random
+
+    rng = random.Random(3)
+    ids = [*range(12), *range(1_000_000, 1_000_012), *range(900_000, 900_006)]
+    rows = [(i, rng.choice(ids), float(rng.randrange(60)), rng.randrange(90)) for i in range(260)]
+    at = str(tmp_path_factory.mktemp("far"))
+    spark.createDataFrame(rows, "event_id long, user_id long, value double, s long").selectExpr("event_id", "user_id", "value", "timestamp_seconds(s) AS ts").write.parquet(f"{at}/events.parquet")
+    events = [(i, s, u, 900_000 + int(v) % 40) for i, u, v, s in rows]
+    near = defaultdict(set)
+    for _, _, u, v in events:
+        near[u].add(v)
+        near[v].add(u)
+    return at, events, {i: {u, v} | near[u] | near[v] for i, _, u, v in events}
+
+
+def test_dependencies_of_large_ids(spark, far):
+    at, events, sub = far
+    before = {(a[0], b[0]) for b in events for a in events if a[0] // 50 == b[0] // 50 and a[1] < b[1] and {a[2], a[3]} & sub[b[0]]}
+    got = [tuple(r) for r in catalog.QUERIES["event_dependencies"](spark, at).select("before_id", "after_id").collect()]
+    assert sorted(got) == sorted(before)
+
+
+def test_layers_of_large_ids(spark, far):
+    at, events, sub = far
+    layer = {}
+    for b in sorted(events, key=lambda e: e[1]):
+        layer[b[0]] = max((layer[a[0]] + 1 for a in events if a[0] // 50 == b[0] // 50 and a[1] < b[1] and {a[2], a[3]} & sub[b[0]]), default=0)
+    assert {r["event_id"]: r["layer"] for r in catalog.QUERIES["execution_layers"](spark, at).collect()} == layer
+
+
+def test_subgraphs_by_runs(spark, far, monkeypatch):
+    from arcloom.operators import temporal
+
+    monkeypatch.setattr(temporal, "NEAR_RUN", 3)
+    at, events, sub = far
+    got = catalog.QUERIES["event_subgraph"](spark, at).collect()
+    assert sorted((r["event_id"], r["node"]) for r in got) == sorted((i, n) for i, s in sub.items() for n in s)
