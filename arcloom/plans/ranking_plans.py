@@ -22,14 +22,8 @@ def _split(spark, sf):
     return R.ratio_split(V.pairs(spark, sf), "user_id", draw(F.col("user_id"), F.col("item_id"), 42), ["item_id"], (0.8, 0.1))
 
 
-def _scores(p):
-    u, i = p.select("user_id").distinct(), p.select("item_id").distinct()
-    return u.crossJoin(i).withColumn("score", draw(F.col("user_id"), F.col("item_id"), 9).cast("double"))
-
-
-def _ranked(spark, sf, k=200):
-    sp = _split(spark, sf)
-    return R.relevance(R.top_k(_scores(sp), sp.where("part = 0"), k), sp.where("part = 2"))
+def _lists(spark, sf, k=200):
+    return R.drawn_lists(R.by_user(_split(spark, sf)), k, 9)
 
 
 @query("bipartite_edges", f"{_P} SELECT user_id AS src, item_id + beyond AS dst, CAST(1 AS DOUBLE) AS w FROM p, us UNION ALL SELECT item_id + beyond, user_id, CAST(1 AS DOUBLE) FROM p, us")
@@ -107,25 +101,26 @@ def _(spark, sf):
 
 @query("full_item_topk", f"{_SCORES} SELECT user_id, rank, item_id, score FROM tk WHERE rank <= 20")
 def _(spark, sf):
-    sp = _split(spark, sf)
-    return R.top_k(_scores(sp), sp.where("part = 0"), 20)
+    rows = R.list_rows(_lists(spark, sf, 20).select("user_id", "best"))
+    return rows.select("user_id", "rank", "item_id", draw(F.col("user_id"), F.col("item_id"), 9).cast("double").alias("score"))
 
 
 @query("relevance_matrix", f"{_SCORES} SELECT user_id, rank, item_id, CAST(rel AS INTEGER) AS rel, n_pos FROM rl WHERE rank <= 20")
 def _(spark, sf):
-    return _ranked(spark, sf, 20).select("user_id", "rank", "item_id", "rel", "n_pos")
+    rows = R.list_rows(_lists(spark, sf, 20).where("size(truth) > 0").select("user_id", "truth", F.size("truth").cast("long").alias("n_pos"), "best"))
+    return rows.select("user_id", "rank", "item_id", F.array_contains("truth", F.col("item_id")).cast("int").alias("rel"), "n_pos")
 
 
 _METRICS = _SCORES + ", ids AS (SELECT k, sum(1 / log2(k + 1)) OVER (ORDER BY k) AS idcg FROM unnest(range(1, 201)) t(k)), me AS (SELECT user_id, max(n_pos) AS n, max(CAST(rel AS DOUBLE)) AS hit, coalesce(max(CASE WHEN rel THEN 1.0 / rank END), 0) AS mrr, sum(CASE WHEN rel THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CAST(rel AS INTEGER)) AS found FROM rl GROUP BY user_id), mm AS (SELECT user_id, hit, mrr, dcg / idcg AS ndcg, found / n AS recall FROM me JOIN ids ON ids.k = least(n, 200))"
 for _name in ("hit", "mrr", "ndcg", "recall"):
     @query(f"{_name}_at_k", f"{_METRICS} SELECT user_id, round({_name}, 6) AS {_name} FROM mm")
     def _(spark, sf, name=_name):
-        return R.list_metrics(_ranked(spark, sf), 200).select("user_id", r6(name).alias(name))
+        return R.lists_metrics(_lists(spark, sf), 200).select("user_id", r6(name).alias(name))
 
 
 @query("metric_means", f"{_METRICS} SELECT round(avg(hit), 4) AS hit, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg(recall), 4) AS recall FROM mm")
 def _(spark, sf):
-    return R.list_metrics(_ranked(spark, sf), 200).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit", "mrr", "ndcg", "recall")])
+    return R.lists_metrics(_lists(spark, sf), 200).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit", "mrr", "ndcg", "recall")])
 
 
 _RANK = "WITH s AS (SELECT l_orderkey AS query, l_linenumber % 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1 AS positive FROM lineitem)"
