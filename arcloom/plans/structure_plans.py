@@ -331,8 +331,9 @@ def _(spark, sf):
 
 @query("bessel_radial_basis", f"{_NEAR}, s AS (SELECT gid, i, j, dist / 0.2 AS s FROM nr WHERE dist > 0), v AS (SELECT *, 1 / s - 28 * pow(s, 5) + 48 * pow(s, 6) - 21 * pow(s, 7) AS u FROM s) SELECT gid, i, j, CAST(p AS INTEGER) AS pos, round(u * sin((p + 1) * pi() * s), 4) + 0.0 AS v FROM v, unnest(range(3)) t(p)")
 def _(spark, sf):
-    x = G.bessel_basis(F.col("dist"), 0.2, 3, 5)
-    return long_form(_near(spark, sf).where("dist > 0").select("gid", "i", "j", x.alias("x")), key=("gid", "i", "j")).select("gid", "i", "j", "pos", (F.round("v", 4) + 0.0).alias("v"))
+    # a row for each place first: the distance is then worked out once, and the code of a row stays small enough to be compiled
+    rows = _near(spark, sf).where("dist > 0").select("gid", "i", "j", "dist", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"))
+    return rows.select("gid", "i", "j", "pos", (F.round(G.bessel(F.col("dist"), 0.2, F.col("pos"), 5), 4) + 0.0).alias("v"))
 
 
 for _name, _weight in (("conformer_centre", None), ("dipole_centre_of_mass", "m")):

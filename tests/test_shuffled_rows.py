@@ -33,10 +33,12 @@ def bought(spark, tmp_path_factory):
     rows = spark.range(4000).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "(id * 37 + id div 400) % 400 AS l_partkey", "id % 10 AS l_suppkey", "1.0D AS l_quantity", "1.0D AS l_extendedprice")
     rows.write.parquet(f"{at}/lineitem.parquet")
     spark.range(400).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").write.parquet(f"{at}/part.parquet")
+    near = "array(cast(vec_id % 7 AS float) / 100, cast(vec_id % 11 AS float) / 200, cast(vec_id % 13 AS float) / 300)"
+    spark.range(300).withColumnRenamed("id", "vec_id").selectExpr("vec_id", f"{near} AS embedding", "vec_id % 3 AS label").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
-#: Most shuffled rows for each line item.
+#: Most shuffled rows for each line item, or for each of 29 edges of a point.
 MOST = {
     "neighbour_cooccurrence": 16,
     "first_hop_history": 12,
@@ -47,6 +49,9 @@ MOST = {
     "two_hop_temporal_neighbours": 16,
     "patch_sequences": 11,
     "graphmixer_node_mean": 11,
+    "triplets": 5,
+    "triplet_angles": 5,
+    "torsion_angles": 10,
 }
 
 
