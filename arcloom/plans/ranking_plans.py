@@ -76,10 +76,7 @@ def _(spark, sf):
 
 @query("directau_uniformity", f"{_EMB} SELECT round(ln(avg(exp(-2 * ((l.a-m.a)*(l.a-m.a) + (l.b-m.b)*(l.b-m.b))))), 5) AS uniformity FROM e l, e m WHERE l.id <> m.id")
 def _(spark, sf):
-    e = _emb(spark, sf)
-    m = e.select(F.col("id").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    d = (F.col("a") - F.col("a2")) * (F.col("a") - F.col("a2")) + (F.col("b") - F.col("b2")) * (F.col("b") - F.col("b2"))
-    return e.crossJoin(m).where("id <> j").agg(F.round(F.log(F.avg(F.exp(-2 * d))), 5).alias("uniformity"))
+    return R.uniformity(_emb(spark, sf)).select(F.round("uniformity", 5).alias("uniformity"))
 
 
 for _name, _eps in (("bpr_loss", 1e-8), ("bpr_loss_gamma", 1e-3)):
