@@ -38,7 +38,7 @@ def bought(spark, tmp_path_factory):
     return at
 
 
-#: Most shuffled rows for each line item, or for each of 29 edges of a point.
+#: Most shuffled rows for each line item.
 MOST = {
     "neighbour_cooccurrence": 16,
     "first_hop_history": 12,
@@ -49,6 +49,8 @@ MOST = {
     "two_hop_temporal_neighbours": 16,
     "patch_sequences": 11,
     "graphmixer_node_mean": 11,
+    "lightgcn_propagation": 8,
+    "laplacian_positional_encoding": 6,
     "triplets": 5,
     "triplet_angles": 5,
     "torsion_angles": 10,
@@ -73,3 +75,13 @@ def test_transitions_shuffle_edges_alone(spark):
 
     edges = spark.range(3000).selectExpr("id div 20 AS src", "(id * 7 + id div 20) % 150 AS dst").distinct()
     assert shuffled(spark, lambda: sampling.second_order_weights(edges, 0.5, 2.0)) <= 3000 * 12
+
+
+def test_undirected_shuffles_a_pair_once(spark):
+    from arcloom.operators import edges as E
+
+    pairs = [(1, 2, 1.0), (2, 1, 2.0), (3, 3, 4.0), (None, 5, 8.0), (5, None, 16.0)]
+    got = E.to_undirected(spark.createDataFrame(pairs, "src long, dst long, w double")).collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(1, 2): 3.0, (2, 1): 3.0, (3, 3): 8.0, (None, 5): 24.0, (5, None): 24.0} and len(got) == 5
+    edges = spark.range(3000).selectExpr("id AS src", "id + 3000 AS dst", "1.0D AS w")
+    assert shuffled(spark, lambda: E.to_undirected(edges)) <= 3000
