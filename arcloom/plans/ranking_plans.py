@@ -43,8 +43,8 @@ def _lg(spark, sf):
 for _name, _first, _mix in (("lightgcn_propagation", True, [(1 / 3, "f"), (1 / 3, "h1"), (1 / 3, "h2")]), ("lightgcn_propagation_no_e0", False, [(0.5, "h1"), (0.5, "h2")])):
     @query(_name, f"{_LG}, {mix('o', _mix)} SELECT id, CAST(pos AS INTEGER) AS pos, round(v, 5) AS v FROM o")
     def _(spark, sf, first=_first):
-        n, a = _lg(spark, sf)
-        return long_form(R.layered_mean(n, a, 2, 2, first)).select("id", "pos", F.round("v", 5).alias("v"))
+        feature = F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double"))
+        return long_form(R.light_mean(R.bipartite(V.pairs(spark, sf)), feature, 2, 2, first)).select("id", "pos", F.round("v", 5).alias("v"))
 
 
 @query("simgcl_perturbation", f"{_LG} SELECT id, CAST(pos AS INTEGER) AS pos, round(v + sign(v) * 0.1 * ({draw_sql('id', 'pos', 4)} / 1000033.0), 6) AS v FROM f")
